@@ -18,7 +18,7 @@ AND_PREFIX = "ו"
 
 def mask_breaks(text: Column) -> Column:
     """One trailing line break goes, every other one becomes a marker."""
-    body = F.regexp_replace(text, r"\r?\n$", "")
+    body = F.regexp_replace(text, r"\r?\n\z", "")
     return F.regexp_replace(body, r"\r?\n", f" {P.NEWLINE}{P.END}  ")
 
 

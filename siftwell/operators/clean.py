@@ -34,7 +34,7 @@ def split_on_blank_line(df: DataFrame, text: str = "body", part: str = "part_no"
 
 def split_on_separator_rows(df: DataFrame, text: str = "text", part: str = "part_no") -> DataFrame:
     """One row per part between separator rows, with the number of plus rows of the whole text in n_plus_rows."""
-    row = rf"(?:^|\r?\n)[^\n]*(?:{P.DASH_ROW}|{P.any_of([P.PLUS_ROW])})[^\n]*(?:\r?\n|$)"
+    row = rf"(?:^|(?<=\n)|\r?\n)[^\n]*(?:{P.DASH_ROW}|{P.any_of([P.PLUS_ROW])})[^\n]*(?:\r?\n|$)"
     plus = rf"(?m)^[^\n]*{P.any_of([P.PLUS_ROW])}[^\n]*$"
     others = [c for c in df.columns if c != text]
     return df.select(

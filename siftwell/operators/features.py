@@ -111,9 +111,11 @@ class Vectoriser:
         counter = CountVectorizer(
             vocabSize=self.max_width + 1, minDF=1.0, binary=True, inputCol="_terms", outputCol="_ngrams"
         ).fit(rows)
-        width = counter.transform(train.sparkSession.createDataFrame([([],)], "_terms array<string>")).first()
+        empty = train.sparkSession.createDataFrame([([],)], "_terms array<string>")
         self.counter = counter
-        if width["_ngrams"].size > self.max_width:
+        self.width = counter.transform(empty).select(F.col("_ngrams").alias("v", metadata={})).first().v.size
+        if self.width > self.max_width:
+            self.width = self.max_width
             self.counter = HashingTF(numFeatures=self.max_width, binary=True, inputCol="_terms", outputCol="_ngrams")
         self.bag = bag
         return self
@@ -131,7 +133,11 @@ class Vectoriser:
             # an empty message still counts as one sentence
             rows = rows.withColumn("n_sentences", F.when(F.col("text") != "", F.col("n_sentences")).otherwise(0))
             scalars = SCALARS
-        out = VectorAssembler(inputCols=blocks + scalars, outputCol="features").transform(self.counter.transform(rows))
+        counted = self.counter.transform(rows)
+        # the names of all slots would travel with the schema: keep only their number, and not even that afterwards
+        size = {"ml_attr": {"num_attrs": self.width}}
+        counted = counted.withColumn("_ngrams", F.col("_ngrams").alias("_ngrams", metadata=size))
+        out = VectorAssembler(inputCols=blocks + scalars, outputCol="features").transform(counted)
         kept = [c for c in keep if c in df.columns]
         values = F.array(*[F.col(c).cast("double") for c in scalars]).cast("array<double>")
-        return out.select(*kept, "features", F.col("_terms").alias("terms"), values.alias("scalars"))
+        return out.select(*kept, F.col("features").alias("features", metadata={}), F.col("_terms").alias("terms"), values.alias("scalars"))

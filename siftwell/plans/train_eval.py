@@ -42,7 +42,7 @@ def spam_scores(messages: DataFrame, k: int = 5) -> DataFrame:
 def model_predictions(
     messages: DataFrame, k: int = 5, names: Sequence[str] = MODEL_NAMES, folds: Sequence[int] | None = None,
     script: str = "hebrew", sizes: Sequence[int] = (1, 2, 3), kinds: Sequence[str] = ("word", "letter"),
-    rounds: int = 50, fraction: float = 0.25,
+    rounds: int = 50, max_iter: int = 100, fraction: float = 0.25,
 ) -> tuple[DataFrame, list[tuple[str, int, float]]]:
     """(msg_id, model, fold, label, predicted) and fit times. Per fold the vocabulary and class words come from the
     training rows, and all models share one kept table of vectors."""
@@ -52,7 +52,7 @@ def model_predictions(
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         vectors = Vectoriser(sizes, kinds, script).fit(train, class_words(train, script=script))
         predicted, times = fit_and_predict(
-            vectors.transform(train), vectors.transform(test), classifiers(names, rounds), fold
+            vectors.transform(train), vectors.transform(test), classifiers(names, rounds, max_iter), fold
         )
         out = predicted if out is None else out.unionByName(predicted)
         timings += times

@@ -18,7 +18,7 @@ _IS_ROOT = rf"~0~{_FIELD}(?: |$)"
 def _sentences(text: Column) -> Column:
     """Runs of tagged words, blank-separated; any other word ends a run."""
     marked = F.transform(words(text), lambda w: F.when(w.rlike(TAGGED_WORD), w).otherwise("\n"))
-    runs = F.transform(F.split(F.array_join(marked, " "), "\n"), F.trim)
+    runs = F.transform(F.split(F.array_join(marked, " "), "\n"), lambda r: F.trim(r))
     return F.filter(runs, lambda r: r != "")
 
 
@@ -27,7 +27,7 @@ def _trees(text: Column) -> Column:
     closed = F.transform(
         _sentences(text), lambda r: F.concat(r, F.when(r.rlike(_IS_ROOT), "\n").otherwise(" "))
     )
-    return F.filter(F.transform(F.split(F.array_join(closed, ""), "\n"), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.split(F.array_join(closed, ""), "\n"), lambda r: F.trim(r)), lambda r: r != "")
 
 
 def parse_tagged(
