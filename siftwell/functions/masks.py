@@ -105,4 +105,4 @@ def mask_names(
 def mask_emoji(text: Column, glyphs: str = P.EMOJI_GLYPHS) -> Column:
     """Every glyph becomes EMOJI<glyph>; a glyph already inside a marker stays. (Look-around: Java only.)"""
     ahead = f"(?={P.BEYOND_LATIN})" if glyphs == P.EMOJI_GLYPHS else ""  # one test that most letters fail
-    return F.regexp_replace(text, f"{ahead}([{glyphs}])(?<!{P.EMOJI}.(?={P.END}))", f" {P.EMOJI}$1{P.END} ")
+    return F.regexp_replace(text, f"{ahead}(?=[{glyphs}])(?<!{P.EMOJI}(?=.{P.END}))(.)", f" {P.EMOJI}$1{P.END} ")

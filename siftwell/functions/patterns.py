@@ -21,6 +21,7 @@ _BEYOND_ASCII = (
 )
 CHAR = f"[!-~{_BEYOND_ASCII}]"
 WORD = CHAR + "+"
+WHOLE_LETTER = r"(?![\x{dc00}-\x{dfff}])"  # Java steps by UTF-16 units: do not start inside a letter
 FIELD = f"[!-}}{_BEYOND_ASCII}]+"  # a word without "~"
 NOT_AT = f"[!-?A-~{_BEYOND_ASCII}]+"  # a word without "@"
 

@@ -90,8 +90,11 @@ def term_array(
     joined = normalise_markers(F.col(text))
     make = {"word": lambda n: word_ngrams(joined, n), "letter": lambda n: letter_ngrams(F.col(text), n)}
     grams = {k: F.concat(*[make[k](n) for n in sizes]) for k in kinds}
-    tagged = [F.transform(F.array_distinct(g), lambda t, k=k: F.concat(F.lit(f"{k}:"), t)) for k, g in grams.items()]
-    return F.concat(*tagged)
+
+    def prefixed(kind: str) -> Column:
+        return F.transform(F.array_distinct(grams[kind]), lambda t: F.concat(F.lit(f"{kind}:"), t))
+
+    return F.concat(*[prefixed(k) for k in kinds])
 
 
 class Vectoriser:

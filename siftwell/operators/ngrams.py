@@ -30,7 +30,7 @@ def word_ngrams(joined: Column, n: int) -> Column:
 
 def letter_ngrams(text: Column, n: int) -> Column:
     """Array of all substrings of n letters, in time linear in the text."""
-    return F.regexp_extract_all(text, F.lit("(?s)(.)" if n == 1 else f"(?s)(?=(.{{{n}}}))"), 1)
+    return F.regexp_extract_all(text, F.lit("(?s)(.)" if n == 1 else f"(?s){P.WHOLE_LETTER}(?=(.{{{n}}}))"), 1)
 
 
 def explode_ngrams(
@@ -88,7 +88,7 @@ def match_substrings(
     At every letter the text is read on to the end of the third word, and every prefix of that span is looked up by
     equality. Only a term longer than KEY letters is looked up by its first KEY letters and then verified."""
     ids = list(id_cols)
-    span = rf"(?=({P.CHAR}{{1,{KEY}}}(?: {P.CHAR}{{1,{KEY}}}){{0,2}}))"
+    span = rf"{P.WHOLE_LETTER}(?=({P.CHAR}{{1,{KEY}}}(?: {P.CHAR}{{1,{KEY}}}){{0,2}}))"
     spans = df.select(*ids, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(span), 1))).alias("_s"))
     size = F.length("term")
 

@@ -53,7 +53,7 @@ def lookup(
     rows = right.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
         return left.join(F.broadcast(left.sparkSession.createDataFrame(rows, right.schema)), on, how)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.withColumn("_salt", _salt(salt_by, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
 
 

@@ -162,7 +162,8 @@ oracle(
 
 oracle(
     "annotation_lookup",
-    "SELECT d.doc_id AS msg_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    """SELECT d.doc_id AS msg_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 )
 oracle(
     "dataset_union",
@@ -628,7 +629,7 @@ k AS (SELECT 3 * floor(sqrt(count(*)))::INT AS k FROM em WHERE fold <> 0),
 nn AS (SELECT a.id AS test_id, b.id AS train_id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY
   round(greatest(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), 0), 9), b.id)
   AS rank FROM em a, em b WHERE a.fold = 0 AND b.fold <> 0 QUALIFY rank <= (SELECT k FROM k))"""
-oracle("nearest_neighbours", "SELECT test_id, train_id, rank FROM nn", NEAR)
+oracle("nearest_neighbours", "SELECT test_id, train_id, rank::INT AS rank FROM nn", NEAR)
 oracle(
     "nearest_neighbour_votes",
     """SELECT test_id, label AS predicted FROM (SELECT test_id, label, count(*) AS n FROM nn GROUP BY test_id, label)

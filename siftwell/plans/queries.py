@@ -158,7 +158,8 @@ def blank_squeeze(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def annotation_lookup(spark: SparkSession, sf: str) -> DataFrame:
     labels = I.table(spark, sf, "labels").withColumnRenamed("doc_id", "msg_id")
-    return features.annotate(I.documents(spark, sf), labels).select("msg_id", "quality", "toxic")
+    out = features.annotate(I.documents(spark, sf), labels)
+    return out.select("msg_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("quality", "toxic")])
 
 
 @query
