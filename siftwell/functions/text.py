@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwell.functions import patterns as P
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once. A filter that Catalyst moves below a chain of projections puts the chain into
+    one expression, and without this every mention of the value would be another copy of all steps before it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Blank-separated words as an array."""
     return F.regexp_extract_all(text, F.lit(f"({P.WORD})"), 1)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import masks as M
 from siftwell.functions import patterns as P
-from siftwell.functions.text import words
+from siftwell.functions.text import let, words
 
 
 def _strip(text: Column) -> Column:
@@ -25,21 +25,26 @@ def censor(
     seed: int = 1,
 ) -> DataFrame:
     """Breaks, links, phones, names, e-mails, emoji, in this order. The word loops run only in messages that hold
-    something to mask. Each step is its own projection, so that no expression is repeated inside the next."""
-    t = F.col(text)
-    out = df.withColumn(text, _strip(M.mask_breaks(t)))
-    out = out.withColumn(text, F.when(t.rlike(P.LINK_HINT), M.mask_links(t)).otherwise(t))
-    out = out.withColumn(text, F.when(t.rlike(P.PHONE_SHAPE), M.mask_phones(t)).otherwise(t))
+    something to mask. One narrow projection, in which every step is mentioned once by the next."""
+
+    def guarded(value: Column, hint: str, mask: Callable[[Column], Column]) -> Column:
+        return let(value, lambda t: F.when(t.rlike(hint), mask(t)).otherwise(t))
+
+    out = _strip(M.mask_breaks(F.col(text)))
+    out = guarded(out, P.LINK_HINT, M.mask_links)
+    out = guarded(out, P.PHONE_SHAPE, M.mask_phones)
     if names:
-        out = out.withColumn(text, F.when(t.rlike(P.any_of(list(names))), M.mask_names(t, names, pool, seed)).otherwise(t))
-    out = out.withColumn(text, F.when(t.contains("@"), M.mask_emails(t)).otherwise(t))
-    any_glyph = t.rlike(P.BEYOND_LATIN) if glyphs == P.EMOJI_GLYPHS else F.lit(True)
-    return out.withColumn(text, _strip(F.when(any_glyph, M.mask_emoji(t, glyphs)).otherwise(t)))
+        out = guarded(out, P.any_of(list(names)), lambda t: M.mask_names(t, names, pool, seed))
+    out = guarded(out, "@", M.mask_emails)
+    any_glyph = P.BEYOND_LATIN if glyphs == P.EMOJI_GLYPHS else f"[{glyphs}]"
+    out = guarded(out, any_glyph, lambda t: M.mask_emoji(t, glyphs))
+    return df.withColumn(text, _strip(out))
 
 
 def extract_variables(df: DataFrame, text: str = "text", keep: Sequence[str] = ("msg_id",)) -> DataFrame:
     """One row per marker: kind, payload (empty if none) and pos, the index of its word in the message."""
-    tokens = df.where(F.col(text).contains(P.END)).select(*keep, F.posexplode(words(F.col(text))).alias("pos", "_word"))
+    tokens = df.select(*keep, F.posexplode(words(F.col(text))).alias("pos", "_word"))
+    tokens = tokens.where(F.col("_word").contains(P.END))
     return tokens.where(F.col("_word").rlike(P.MARKER)).select(
         *keep,
         F.regexp_extract("_word", P.MARKER, 1).alias("kind"),

@@ -64,13 +64,13 @@ def ngram_counts(grams: DataFrame) -> DataFrame:
 
 def fit_vocabulary(grams: DataFrame, min_count: int = 1, top: int | None = None) -> DataFrame:
     """vocab(kind, term, n, idx) of the given (training) rows. n counts rows, idx is dense from 0. min_count and top
-    cut the vocabulary; by default it is whole."""
+    cut the vocabulary; by default it is whole. Counts and result are written once, since joins use them repeatedly."""
     counts = cut_lineage(grams.groupBy("kind", "term").agg(F.count("*").alias("n")))
     if min_count > 1:
         counts = counts.where(F.col("n") >= min_count)
     if top is not None:
         counts = top_n_per_group(counts, ["kind"], [F.desc("n"), F.col("term")], top, ["term"]).drop("rank_in_group")
-    return dense_index(counts, ["kind", "term"])
+    return cut_lineage(dense_index(counts, ["kind", "term"]))
 
 
 def match_terms(grams: DataFrame, vocab: DataFrame, id_cols: Sequence[str] = ("msg_id",)) -> DataFrame:

@@ -58,11 +58,12 @@ def lookup(
 
 
 def top_n_per_group(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, salt_by: Sequence[str], salts: int = 256
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, salt_by: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """First n rows of every group as row_number gives them, in column rank_in_group. Each group is first cut into
-    salts; the last step sees at most salts * n rows of a group."""
+    salts, as many as there are shuffle partitions; the last step sees at most salts * n rows of a group."""
     groups = list(groups)
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inner = W.partitionBy(*groups, "_salt").orderBy(*order)
     outer = W.partitionBy(*groups).orderBy(*order)
     return (

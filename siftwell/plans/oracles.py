@@ -647,6 +647,34 @@ oracle(
     word_grams("lab", "g", "msg_id, label", (1,)),
 )
 
+
+
+def boosted(rounds: int) -> str:
+    """CTEs b1..bN: the best stump of each round, b0 being none."""
+    out = ["wt AS MATERIALIZED (SELECT DISTINCT msg_id, label, term FROM g)", "w1 AS (SELECT msg_id, label, 1.0::DOUBLE AS w FROM lab)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""e{i} AS (SELECT term, (sum(CASE WHEN wt.label = 0 THEN w ELSE 0 END) + any_value(t1)
+    - sum(CASE WHEN wt.label = 1 THEN w ELSE 0 END)) / any_value(t) AS e FROM wt JOIN w{i} USING (msg_id),
+    (SELECT sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS t1, sum(w) AS t FROM w{i}) GROUP BY term),
+b{i} AS MATERIALIZED (SELECT term, present, error, ln((1 - error) / error) AS alpha FROM (SELECT term, (e <= 0.5)::INT AS present,
+    round(least(e, 1 - e), 9) AS error FROM e{i}) ORDER BY error, term LIMIT 1),
+s{i} AS (SELECT l.msg_id, alpha, CASE WHEN h.msg_id IS NOT NULL THEN present ELSE 1 - present END AS said FROM lab l, b{i}
+    LEFT JOIN (SELECT msg_id, term FROM wt) h ON h.msg_id = l.msg_id AND h.term = b{i}.term),
+w{i + 1} AS MATERIALIZED (SELECT w.msg_id, w.label, w.w * CASE WHEN s.said <> w.label THEN exp(s.alpha) ELSE 1 END AS w
+    FROM w{i} w JOIN s{i} s USING (msg_id))""")
+    return ",\n".join(out)
+
+
+oracle(
+    "boosting_predictions",
+    f"""SELECT msg_id, round(sum(CASE WHEN said = 1 THEN alpha ELSE -alpha END), 6) AS margin,
+  (sum(CASE WHEN said = 1 THEN alpha ELSE -alpha END) > 0)::INT AS predicted
+  FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, 6))}) GROUP BY msg_id""",
+    LAB,
+    word_grams("lab", "g", "msg_id, label", (1,)),
+    boosted(5),
+)
+
 # evaluation
 
 oracle(

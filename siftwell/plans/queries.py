@@ -555,23 +555,21 @@ def nearest_neighbour_votes(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.vote(neighbours.nearest(train, test, neighbours.default_k(train.count())))
 
 
-def _word_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = I.labelled(spark, sf)
-    grams = ngrams.explode_ngrams(rows, kinds=["word"], sizes=[1], distinct=True).select("msg_id", "term")
-    return grams, rows.select("msg_id", "label")
+def _word_rows(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.array_distinct(ngrams.word_ngrams(ngrams.normalise_markers(F.col("text")), 1))
+    return I.labelled(spark, sf).select("msg_id", "label", words.alias("terms"))
 
 
 @query
 def boosting_stump_errors(spark: SparkSession, sf: str) -> DataFrame:
-    terms, labels = _word_terms(spark, sf)
-    weights = labels.withColumn("w", F.when(F.col("label") == 1, 3.0).otherwise(1.0))
-    return boosting.stump_errors(terms, weights).withColumn("error", F.round("error", 6))
+    rows = _word_rows(spark, sf).withColumn("w", F.when(F.col("label") == 1, 3.0).otherwise(1.0))
+    return boosting.stump_errors(rows).withColumn("error", F.round("error", 6))
 
 
 @query
 def boosting_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    terms, labels = _word_terms(spark, sf)
-    return boosting.predict(boosting.fit(terms, labels, rounds=5), terms, labels)
+    rows = _word_rows(spark, sf)
+    return boosting.predict(boosting.fit(rows, rounds=5), rows).withColumn("margin", F.round("margin", 6))
 
 
 def _model(spark: SparkSession, sf: str, name: str) -> DataFrame:

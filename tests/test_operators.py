@@ -198,23 +198,41 @@ def test_default_k():
     assert (neighbours.default_k(400), neighbours.default_k(399)) == (60, 57)
 
 
-def test_one_boosting_round_by_hand(frame):
-    # term x: in ids 0 1 2 (labels 1 1 0); term y: in 3 (label 0)
-    terms = frame([(0, "x"), (1, "x"), (2, "x"), (3, "y")], "msg_id bigint, term string")
-    labels = frame([(0, 1), (1, 1), (2, 0), (3, 0)], "msg_id bigint, label int")
-    errors = {r.term: (r.present, r.error) for r in boosting.stump_errors(terms, labels.withColumn("w", F.lit(1.0))).collect()}
+def test_boosting_by_hand(frame):
+    schema = "msg_id bigint, label int, terms array<string>"
+    rows = frame([(0, 1, ["x"]), (1, 1, ["x"]), (2, 0, ["x"]), (3, 0, ["y"])], schema)
+    errors = {r.term: (r.present, r.error) for r in boosting.stump_errors(rows.withColumn("w", F.lit(1.0))).collect()}
     assert errors == {"x": (1, 0.25), "y": (0, 0.25)}
-    stumps = boosting.fit(terms, labels, rounds=3)
-    assert (stumps[0].term, stumps[0].present, round(stumps[0].alpha, 6)) == ("x", 1, round(math.log(3), 6))
-    assert len(stumps) == 1  # id 2 weighs three times after round 1: no stump is better than chance
-    out = {r.msg_id: r.predicted for r in boosting.predict(stumps, terms, labels).collect()}
-    assert out == {0: 1, 1: 1, 2: 1, 3: 0}
-    # with a term for id 2 alone the second round corrects it
-    more = terms.union(frame([(2, "z"), (3, "z")], "msg_id bigint, term string"))
-    stumps = boosting.fit(more, labels, rounds=3)
+    stumps = boosting.fit(rows, rounds=3)
+    # id 2 weighs three times after round 1, and then no stump is better than chance
+    assert [(s.term, s.present, round(s.alpha, 6)) for s in stumps] == [("x", 1, round(math.log(3), 6))]
+    assert {r.msg_id: r.predicted for r in boosting.predict(stumps, rows).collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+    # a term that tells the classes apart ends the search
+    terms = rows.select("msg_id", F.explode("terms").alias("term")).union(frame([(2, "z"), (3, "z")], "msg_id bigint, term string"))
+    stumps = boosting.fit(boosting.message_rows(terms, rows.drop("terms")), rounds=3)
     assert [(s.term, s.present) for s in stumps] == [("z", 0)]
 
 
+def test_boosting_equals_a_loop(frame):
+    rng = random.Random(2)
+    data = [(i, rng.randint(0, 1), rng.sample("abcdefgh", rng.randint(1, 5))) for i in range(40)]
+    weights, want = [1.0] * 40, []
+    for _ in range(4):
+        best = []
+        for t in "abcdefgh":
+            for present in (0, 1):
+                wrong = sum(w for w, (_, y, ts) in zip(weights, data, strict=True) if (present if t in ts else 1 - present) != y)
+                best.append((round(wrong / sum(weights), 9), t, present))
+        error, t, present = min(best)
+        alpha = math.log((1 - error) / error)
+        want.append((t, present, round(alpha, 6)))
+        weights = [
+            w * math.exp(alpha) if (present if t in ts else 1 - present) != y else w for w, (_, y, ts) in zip(weights, data, strict=True)
+        ]
+    stumps = boosting.fit(frame(data, "msg_id bigint, label int, terms array<string>"), rounds=4)
+    assert [(s.term, s.present, round(s.alpha, 6)) for s in stumps] == want
+
+
 def test_scalar_cuts(frame):
     rows = [(i, "style", "n", float(i)) for i in range(8)]
     df = frame(rows, "msg_id bigint, kind string, term string, value double").where("value <> 0")
