@@ -688,6 +688,6 @@ def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
     halves = F.when(F.length("dataset") % 2 == 0, "sms").otherwise("email")
     runs = [train_eval.Run(non_spam_cap=None), train_eval.Run(non_spam_cap=100), train_eval.Run(k=1, union=True)]
     out = train_eval.run_grid(I.labelled(spark, sf).withColumn("dataset", halves), runs)
-    return out.drop("plan_seconds")
+    return out.drop("plan_seconds").na.fill(-1, ["spam_cap", "non_spam_cap"])
 
 
