@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizer, HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +13,13 @@ from siftwell.functions.text import has_script
 from siftwell.operators.classwords import class_word_hits
 from siftwell.operators.ngrams import letter_ngrams, normalise_markers, word_ngrams
 from siftwell.operators.tags import ngram_sentences, tag_counts, tag_ngrams_of_tokens
+from siftwell.operators.skew import hot_join
 from siftwell.operators.trees import path_ngram_counts, path_ngrams, reachable_nodes, tree_shape
+from siftwell.session import cut_lineage
+from siftwell.sources.tagged import parse_tagged
 
 SCALARS = [*STYLE_COLUMNS, "non_spam_words", "spam_words"]
+TREE_SCALARS = ["depth", "most_children", "n_relations"]
 MAX_WIDTH = 1 << 20  # a linear model keeps its weights on the driver; wider vocabularies are hashed to this width
 
 
@@ -62,7 +66,7 @@ def long_features(
     if with_trees:
         nodes = reachable_nodes(tokens)
         shape = tree_shape(nodes, id_col=id_col)
-        blocks.append(unpivot_scalars(shape, ["depth", "most_children", "n_relations"], "tree", [id_col]))
+        blocks.append(unpivot_scalars(shape, TREE_SCALARS, "tree", [id_col]))
         blocks.append(numbered(path_ngram_counts(path_ngrams(nodes), id_col), "tree_ngram", "term", "n"))
     out = blocks[0]
     for block in blocks[1:]:
@@ -76,8 +80,6 @@ def long_features(
 def sparse_rows(features: DataFrame, vocab: DataFrame, id_col: str = "msg_id") -> DataFrame:
     """(msg_id, idx array, val array), sorted by idx: one row per message, values joined to the dense index of
     vocab(kind, term, n, idx)."""
-    from siftwell.operators.skew import hot_join
-
     placed = hot_join(features, vocab, ["kind", "term"], "n", [id_col])
     pairs = placed.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_p"))
     return pairs.select(id_col, F.col("_p.idx").alias("idx"), F.col("_p.value").alias("val"))
@@ -97,50 +99,94 @@ def term_array(
     return F.concat(*[prefixed(k) for k in kinds])
 
 
+def annotation_features(tagged_messages: DataFrame, with_tags: bool = True, with_trees: bool = True) -> DataFrame:
+    """(msg_id, counted, depth, most_children, n_relations) of tagged text: counted is an array of (term, n) for tags,
+    tag n-grams and tree paths; the scalars are those of the trees. One row per message that has any."""
+    parts = []
+    if with_tags:
+        tokens = parse_tagged(tagged_messages)
+        parts.append(tag_counts(tokens).select("msg_id", F.concat(F.lit("tag:"), "pos").alias("term"), "n"))
+        grams = ngram_sentences(tag_ngrams_of_tokens(tokens))
+        parts.append(grams.select("msg_id", F.concat(F.lit("tag_ngram:"), "term").alias("term"), "n"))
+    shape = tagged_messages.select("msg_id", *[F.lit(0).alias(c) for c in TREE_SCALARS])
+    if with_trees:
+        nodes = reachable_nodes(parse_tagged(tagged_messages, unit="tree"))
+        paths = path_ngram_counts(path_ngrams(nodes))
+        parts.append(paths.select("msg_id", F.concat(F.lit("tree_ngram:"), "term").alias("term"), "n"))
+        shape = tree_shape(nodes)
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
+    lists = counts.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("counted"))
+    return cut_lineage(lists.join(shape, "msg_id", "left").select("msg_id", "counted", *TREE_SCALARS))
+
+
 class Vectoriser:
-    """Messages to sparse MLlib vectors: n-gram presence, class word hits and style, without a shuffle of the n-grams.
+    """Messages to sparse MLlib vectors: n-gram presence, class word hits, style, and on request tag and tree counts,
+    without a shuffle of the n-grams.
 
     The vocabulary is that of the training rows. It has to fit the driver, as the weights of a linear model do, so its
     size is checked; above max_width terms all of them are hashed to max_width slots and none is dropped."""
 
     def __init__(
         self, sizes: Sequence[int] = (1, 2, 3), kinds: Sequence[str] = ("word", "letter"), script: str = "hebrew",
-        max_width: int = MAX_WIDTH, style: bool = True,
+        max_width: int = MAX_WIDTH, style: bool = True, annotated: bool = False,
     ) -> None:
         self.sizes, self.kinds, self.script, self.max_width, self.style = sizes, kinds, script, max_width, style
+        self.annotated = annotated  # messages bring the columns of annotation_features
 
     def fit(self, train: DataFrame, bag: DataFrame) -> Vectoriser:
-        rows = train.select(term_array("text", self.sizes, self.kinds).alias("_terms"))
-        counter = CountVectorizer(
-            vocabSize=self.max_width + 1, minDF=1.0, binary=True, inputCol="_terms", outputCol="_ngrams"
-        ).fit(rows)
-        empty = train.sparkSession.createDataFrame([([],)], "_terms array<string>")
-        self.counter = counter
-        self.width = counter.transform(empty).select(F.col("_ngrams").alias("v", metadata={})).first().v.size
-        if self.width > self.max_width:
-            self.width = self.max_width
-            self.counter = HashingTF(numFeatures=self.max_width, binary=True, inputCol="_terms", outputCol="_ngrams")
+        self.counters = [self._counter(train.select(term_array("text", self.sizes, self.kinds).alias("_terms")), True)]
+        if self.annotated:
+            self.counters.append(self._counter(train.select(_repeated().alias("_tags")), False))
         self.bag = bag
         return self
 
+    def _counter(self, rows: DataFrame, binary: bool) -> tuple[CountVectorizerModel | HashingTF, int]:
+        name = rows.columns[0]
+        made = {"binary": binary, "inputCol": name, "outputCol": f"{name}_v"}
+        counter = CountVectorizer(vocabSize=self.max_width + 1, minDF=1.0, **made).fit(rows)
+        empty = rows.sparkSession.createDataFrame([([],)], f"{name} array<string>")
+        width = counter.transform(empty).select(F.col(f"{name}_v").alias("v", metadata={})).first().v.size
+        if width > self.max_width:
+            return HashingTF(numFeatures=self.max_width, **made), self.max_width
+        return counter, width
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ("msg_id", "label", "fold")) -> DataFrame:
-        """keep columns + features (vector), and what it is made of: terms (array of "kind:term") and scalars (array
-        in the order of SCALARS). A message without a letter of the script is a zero vector."""
+        """keep columns + features (vector), and what it is made of: terms (array of "kind:term"), counted (array of
+        term and n) and scalars (array in the order of SCALARS). A message without a letter of the script is a zero
+        vector."""
         ok = has_script(F.col("text"), self.script)
         own = df.withColumn("text", F.when(ok, F.col("text")).otherwise(""))
         rows = own.withColumn("_terms", term_array("text", self.sizes, self.kinds))
-        blocks, scalars = ["_ngrams"], []
+        scalars: list[str] = []
         if self.style:
             hits = class_word_hits(own, self.bag, script=self.script)
             rows = add_style(rows, script=self.script).join(hits, "msg_id")
             # an empty message still counts as one sentence
             rows = rows.withColumn("n_sentences", F.when(F.col("text") != "", F.col("n_sentences")).otherwise(0))
             scalars = SCALARS
-        counted = self.counter.transform(rows)
-        # the names of all slots would travel with the schema: keep only their number, and not even that afterwards
-        size = {"ml_attr": {"num_attrs": self.width}}
-        counted = counted.withColumn("_ngrams", F.col("_ngrams").alias("_ngrams", metadata=size))
-        out = VectorAssembler(inputCols=blocks + scalars, outputCol="features").transform(counted)
+        none = F.array().cast("array<struct<term: string, n: bigint>>")
+        rows = rows.withColumn("counted", F.when(ok & F.col("counted").isNotNull(), F.col("counted")).otherwise(none) if self.annotated else none)
+        if self.annotated:
+            rows = rows.withColumns({c: F.when(ok, F.coalesce(c, F.lit(0))).otherwise(0) for c in TREE_SCALARS})
+            rows, scalars = rows.withColumn("_tags", _repeated()), [*scalars, *TREE_SCALARS]
+        blocks = []
+        for counter, width in self.counters:
+            rows = counter.transform(rows)
+            # the names of all slots would travel with the schema: keep only their number, and not even that afterwards
+            name = counter.getOutputCol()
+            rows = rows.withColumn(name, F.col(name).alias(name, metadata={"ml_attr": {"num_attrs": width}}))
+            blocks.append(name)
+        out = VectorAssembler(inputCols=blocks + scalars, outputCol="features").transform(rows)
         kept = [c for c in keep if c in df.columns]
         values = F.array(*[F.col(c).cast("double") for c in scalars]).cast("array<double>")
-        return out.select(*kept, F.col("features").alias("features", metadata={}), F.col("_terms").alias("terms"), values.alias("scalars"))
+        return out.select(
+            *kept, F.col("features").alias("features", metadata={}), F.col("_terms").alias("terms"), "counted",
+            values.alias("scalars"),
+        )
+
+
+def _repeated() -> Column:
+    """Every counted term n times, as MLlib counts them."""
+    return F.flatten(F.transform(F.coalesce("counted", F.array()), lambda c: F.array_repeat(c["term"], c["n"].cast("int"))))

@@ -766,6 +766,7 @@ def grid_run(run_id: int, name: str, k: int, cap: int | None, union: bool) -> st
         rows = f"SELECT * FROM ({rows}) WHERE dataset = '{name}'"
     folded = f"{fold('msg_id', k)} AS fold" if k > 1 else HOLD[HOLD.index("(row_number") : HOLD.index(" FROM lab")]
     return f"""SELECT {run_id}::INT AS run_id, '{name}' AS dataset, {k}::INT AS k, 0.25::DOUBLE AS split, {str(union).lower()} AS is_union,
+  false AS is_morphological, false AS has_tags, false AS has_trees,
   -1::INT AS spam_cap, {cap or -1}::INT AS non_spam_cap, * FROM (WITH rw AS ({rows}), src AS MATERIALIZED (SELECT *, {folded} FROM rw),
 {bayes("src")},
 {SCORED} SELECT * FROM ({FOLD_SUMMARY}), (SELECT count(*) AS n_messages, count(*) FILTER (label = 1) AS n_spam,
@@ -824,3 +825,17 @@ oracle(
 dt AS MATERIALIZED (SELECT p.msg_id AS a, q.msg_id AS b, sum(p.v * q.v) AS s FROM ff p JOIN ff q ON p.f = q.f
   WHERE p.msg_id IN (SELECT msg_id FROM te) AND q.msg_id IN (SELECT msg_id FROM tr) GROUP BY p.msg_id, q.msg_id)""",
 )
+
+oracle_r(
+    "annotation_terms",
+    f"""SELECT t.msg_id, depth, most_children, n_relations, term, n FROM (
+  SELECT msg_id, 'tag:' || pos AS term, count(*) AS n FROM toks GROUP BY msg_id, pos
+  UNION ALL SELECT msg_id, 'tag_ngram:' || term, count(DISTINCT sent_no) FROM sg WHERE term IS NOT NULL GROUP BY msg_id, term
+  UNION ALL SELECT msg_id, 'tree_ngram:' || term, count(*) FROM paths WHERE term IS NOT NULL GROUP BY msg_id, term) t
+  JOIN (SELECT msg_id, max(level) + 1 AS depth, count(DISTINCT rel) AS n_relations FROM nodes GROUP BY msg_id) a ON a.msg_id = t.msg_id
+  JOIN {CHILDREN} b ON b.msg_id = t.msg_id""",
+    TAGGED,
+    SENT_TAGS,
+    walked("toks"),
+    PATHS,
+)

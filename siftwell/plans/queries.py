@@ -691,3 +691,24 @@ def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("plan_seconds").na.fill(-1, ["spam_cap", "non_spam_cap"])
 
 
+def _tagged_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as tagged messages of one dataset; long answers play the second class."""
+    rows = I.tagged(spark, sf).withColumn("dataset", F.lit("turns"))
+    return rows.withColumn("label", (F.size(T.words(F.col("text"))) > 100).cast("int"))
+
+
+@query
+def annotation_terms(spark: SparkSession, sf: str) -> DataFrame:
+    out = features.annotation_features(I.tagged(spark, sf))
+    one = F.inline("counted")
+    return out.select("msg_id", "depth", "most_children", "n_relations", one)
+
+
+@query
+def experiment_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """A morphological run with tag and tree features."""
+    runs = [train_eval.Run(model=1, k=1, morphological=True, tags=True, trees=True)]
+    out = train_eval.run_grid(_tagged_turns(spark, sf), runs, script="latin", sizes=[1], kinds=["word"])
+    return out.drop("plan_seconds").na.fill(-1, ["spam_cap", "non_spam_cap"])
+
+

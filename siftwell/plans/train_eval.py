@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from siftwell.operators import bayes
 from siftwell.operators.censor import censor
 from siftwell.operators.classwords import class_words
+from siftwell.operators.clean import drop_rejected
 from siftwell.operators.dedup import prune_datasets, union_datasets
 from siftwell.operators.evaluate import fold_scores, fold_summary
-from siftwell.operators.features import Vectoriser
+from siftwell.operators.features import Vectoriser, annotate, annotation_features
 from siftwell.operators.models import MODEL_NAMES, classifiers, fit_and_predict
 from siftwell.operators.ngrams import explode_ngrams
 from siftwell.operators.sampling import add_folds, cap_per_class
+from siftwell.sources.tagged import plain_from_tagged
 
 
 def bayes_predictions(
@@ -43,14 +45,17 @@ def model_predictions(
     messages: DataFrame, k: int = 5, names: Sequence[str] = MODEL_NAMES, folds: Sequence[int] | None = None,
     script: str = "hebrew", sizes: Sequence[int] = (1, 2, 3), kinds: Sequence[str] = ("word", "letter"),
     rounds: int = 50, max_iter: int = 100, fraction: float = 0.25,
+    annotations: DataFrame | None = None,
 ) -> tuple[DataFrame, list[tuple[str, int, float]]]:
     """(msg_id, model, fold, label, predicted) and fit times. Per fold the vocabulary and class words come from the
-    training rows, and all models share one kept table of vectors."""
+    training rows, and all models share one kept table of vectors. annotations: see annotation_features."""
     folded = add_folds(messages, k, fraction=fraction)
+    if annotations is not None:
+        folded = annotate(folded, annotations)
     out, timings = None, []
     for fold in folds if folds is not None else (range(k) if k > 1 else [0]):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        vectors = Vectoriser(sizes, kinds, script).fit(train, class_words(train, script=script))
+        vectors = Vectoriser(sizes, kinds, script, annotated=annotations is not None).fit(train, class_words(train, script=script))
         predicted, times = fit_and_predict(
             vectors.transform(train), vectors.transform(test), classifiers(names, rounds, max_iter), fold
         )
@@ -61,7 +66,8 @@ def model_predictions(
 
 @dataclass(frozen=True)
 class Run:
-    """One row of an experiment grid. model 0 is all five; caps and union as in the data stage."""
+    """One row of an experiment grid. model 0 is all five; caps and union as in the data stage. A morphological run
+    takes tagged text, and only it can have tag and tree features."""
 
     model: int = 1
     k: int = 5
@@ -69,9 +75,14 @@ class Run:
     spam_cap: int | None = None
     non_spam_cap: int | None = 6000
     union: bool = False
+    morphological: bool = False
+    tags: bool = False
+    trees: bool = False
 
 
 def _datasets(messages: DataFrame, run: Run) -> list[tuple[str, DataFrame]]:
+    if run.morphological:
+        messages = drop_rejected(messages)
     capped = cap_per_class(messages, {1: run.spam_cap, 0: run.non_spam_cap})
     full = prune_datasets(capped)
     names = [r.dataset for r in full.select("dataset").distinct().orderBy("dataset").collect()]  # one job each
@@ -91,11 +102,16 @@ def run_grid(messages: DataFrame, runs: Sequence[Run], **vector_options: object)
     for run_id, run in enumerate(runs):
         for name, rows in _datasets(messages, run):
             start = time.time()
-            if run.model == 1:
+            noted = None
+            if run.morphological:
+                if run.tags or run.trees:
+                    noted = annotation_features(rows, run.tags, run.trees)
+                rows = rows.withColumn("text", plain_from_tagged(F.col("text")))
+            if run.model == 1 and noted is None:
                 predicted = bayes_predictions(rows, run.k, fraction=run.split)
             else:
                 names = MODEL_NAMES if run.model == 0 else [MODEL_NAMES[run.model - 1]]
-                predicted, _ = model_predictions(rows, run.k, names, fraction=run.split, **vector_options)
+                predicted, _ = model_predictions(rows, run.k, names, fraction=run.split, annotations=noted, **vector_options)
             summary = fold_summary(fold_scores(predicted))
             sizes = rows.agg(
                 F.count("*").alias("n_messages"), F.count_if(F.col("label") == 1).alias("n_spam"),
@@ -104,6 +120,8 @@ def run_grid(messages: DataFrame, runs: Sequence[Run], **vector_options: object)
             row = summary.join(F.broadcast(sizes)).select(  # one row of sizes
                 F.lit(run_id).alias("run_id"), F.lit(name).alias("dataset"), F.lit(run.k).alias("k"),
                 F.lit(run.split).alias("split"), F.lit(run.union).alias("is_union"),
+                F.lit(run.morphological).alias("is_morphological"), F.lit(run.morphological and run.tags).alias("has_tags"),
+                F.lit(run.morphological and run.trees).alias("has_trees"),
                 F.lit(run.spam_cap).cast("int").alias("spam_cap"), F.lit(run.non_spam_cap).cast("int").alias("non_spam_cap"),
                 F.lit(round(time.time() - start, 3)).alias("plan_seconds"), "n_messages", "n_spam", "n_non_spam", "model",
                 "lambda", "f1_mean", "f1_low", "wacc_mean", "wacc_low", "tcr_mean", "tcr_low",

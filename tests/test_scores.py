@@ -105,6 +105,19 @@ def test_grid(spark):
     }
 
 
+def test_tag_and_tree_features_decide(spark):
+    # the words are the same in both classes, only tags and heads differ
+    spam = (F.col("id") % 2 == 1).cast("int")
+    text = F.when(spam == 1, "one~NN~0~r two~JJ~1~a").otherwise("one~NN~2~s two~VB~0~r")
+    rows = spark.range(40).select(F.col("id").alias("msg_id"), F.lit("d").alias("dataset"), spam.alias("label"), text.alias("text"))
+    rejected = rows.limit(1).withColumn("msg_id", F.lit(99).cast("bigint")).withColumn("text", F.lit(" ul "))
+    runs = [train_eval.Run(model=0, k=1, morphological=True, tags=True, trees=True)]
+    out = train_eval.run_grid(rows.union(rejected), runs, script="latin", sizes=[1], rounds=3, max_iter=20).collect()
+    assert {r.model for r in out} == set(models.MODEL_NAMES)
+    assert all(r.n_messages == 40 and r.has_tags and r.has_trees for r in out)
+    assert {r.model: r.f1_mean for r in out} == {m: 1.0 for m in models.MODEL_NAMES}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
