@@ -31,15 +31,19 @@ def build_session(cores: str = "*", app: str = "siftwell", **conf: str) -> Spark
     return spark
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="siftwell-"))
+    return _own_dir[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
