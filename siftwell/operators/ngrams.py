@@ -12,7 +12,7 @@ from siftwell.functions.text import words
 from siftwell.operators.skew import dense_index, hot_join, top_n_per_group
 from siftwell.session import cut_lineage
 
-KEY = 64  # terms up to so many letters are compared by equality, longer ones are verified
+KEY = 64  # words up to so many letters are compared by equality, longer ones are verified
 
 
 def normalise_markers(text: Column) -> Column:
@@ -86,26 +86,23 @@ def match_substrings(
     messages to terms pair by pair.
 
     At every letter the text is read on to the end of the third word, and every prefix of that span is looked up by
-    equality. Only a term longer than KEY letters is looked up by its first KEY letters and then verified."""
+    equality. Only terms with a word of more than KEY letters are looked up by their first KEY letters and verified."""
     ids = list(id_cols)
     span = rf"{P.WHOLE_LETTER}(?=({P.CHAR}{{1,{KEY}}}(?: {P.CHAR}{{1,{KEY}}}){{0,2}}))"
     spans = df.select(*ids, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(span), 1))).alias("_s"))
-    size = F.length("term")
+    is_long = F.col("term").rlike(f"[^ ]{{{KEY + 1},}}")
 
-    cuts = F.sequence(F.lit(1), F.least(F.length("_s"), F.lit(KEY)))
+    cuts = F.sequence(F.lit(1), F.length("_s"))
     prefixes = spans.select(*ids, "_s", F.explode(cuts).alias("_len")).select(
         *ids, F.substring(F.col("_s"), F.lit(1), F.col("_len")).alias("term")
     )
-    short = hot_join(prefixes.where(~F.col("term").endswith(" ")), vocab.where(size <= KEY), ["term"], "n", ids)
+    short = hot_join(prefixes.where(~F.col("term").endswith(" ")), vocab.where(~is_long), ["term"], "n", ids)
 
-    key = F.substring("term", 1, KEY)
-    terms = F.collect_list(F.struct("kind", "term", "idx")).alias("_terms")
-    long_terms = vocab.where(size > KEY).groupBy(key.alias("_key")).agg(F.sum("n").alias("_w"), terms)
+    keyed = vocab.where(is_long).withColumn("_key", F.substring("term", 1, KEY))
+    keyed = keyed.join(keyed.groupBy("_key").agg(F.sum("n").alias("_w")), "_key")
     wide = spans.where(F.length("_s") >= KEY).select(*ids, F.substring("_s", 1, KEY).alias("_key")).distinct()
     long = (
-        hot_join(wide, long_terms, ["_key"], "_w", ids)
-        .select(*ids, F.explode("_terms").alias("_t"))
-        .select(*ids, "_t.*")
+        hot_join(wide, keyed, ["_key"], "_w", ids, many=True)
         .join(df.select(*ids, text), ids)
         .where(F.col(text).contains(F.col("term")))
     )

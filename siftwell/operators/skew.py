@@ -17,9 +17,11 @@ def _salt(columns: Sequence[str], n: Column | int) -> Column:
 
 
 def hot_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, salt_by: Sequence[str], how: str = "inner"
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, salt_by: Sequence[str], how: str = "inner",
+    many: bool = False,
+) -> DataFrame:
     """Join many rows (left) to one row per key (right), where right[weight] says how often a key occurs on the left.
+    With many the right may have several rows per key, all with the key's weight.
 
     A hot key is cut into as many salts as it has HOT-ths of the rows and its right row is copied once per salt, so
     that no reducer gets more than its share. The list of hot keys is broadcast: it has fewer than HOT rows, because
@@ -29,6 +31,7 @@ def hot_join(
     salts = F.ceil(F.col(weight) * HOT / total).cast("bigint")
     marked = right.withColumn("_salts", F.when(F.col(weight) * HOT > total, salts).otherwise(F.lit(1)))
     hot = marked.where(F.col("_salts") > 1).select(*on, F.col("_salts").alias("_cut"))
+    hot = hot.distinct() if many else hot
     salted_left = (
         left.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(_salt(salt_by, F.col("_cut"))))
