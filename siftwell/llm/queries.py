@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.bpe import op4_bpe
 from siftwell.llm.chat import op9_chat
+from siftwell.llm.html import op1_html
 from siftwell.llm.sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op4_bpe": op4_bpe,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
