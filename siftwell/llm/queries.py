@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.bpe import op4_bpe
 from siftwell.llm.chat import op9_chat
 from siftwell.llm.html import op1_html
+from siftwell.llm.rules import ORACLE as RULES_SQL
+from siftwell.llm.rules import op7_rules
 from siftwell.llm.sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op4_bpe": op4_bpe,
+    "op7_rules": op7_rules,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_rules": RULES_SQL}
 
 ORACLES["op9_chat"] = r"""
 WITH added AS (
