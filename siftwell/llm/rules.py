@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import let
-from siftwell.llm.common import SPACE, WORD, table, word_array
+from siftwell.llm.common import WORD, table, word_array
 from siftwell.operators.skew import hot_join
 from siftwell.session import cut_lineage
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5  # a host is rejected if more than this share of its rows fails, after shrinking
@@ -60,8 +60,7 @@ def base_rules(df: DataFrame, host: str = "source", text: str = "text") -> DataF
         F.coalesce(df[host], F.lit("")).alias("_host"),
         df[host].isNull().alias("_no_host"),
         word_array(body).alias("_words"),
-        F.length(F.translate(body, SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
     )
     counted = measured.select(
@@ -69,7 +68,7 @@ def base_rules(df: DataFrame, host: str = "source", text: str = "text") -> DataF
         "_host",
         "_no_host",
         F.size("_words").cast("bigint").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         repeated_words(F.col("_words")).cast("bigint").alias("n_repeat_words"),
