@@ -11,6 +11,8 @@ from siftwell.llm.chat import op9_chat
 from siftwell.llm.html import op1_html
 from siftwell.llm.rules import ORACLE as RULES_SQL
 from siftwell.llm.rules import op7_rules
+from siftwell.llm.secrets import ORACLE as SECRETS_SQL
+from siftwell.llm.secrets import op10_secrets
 from siftwell.llm.sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,8 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_rules": op7_rules,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
+    "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op7_rules": RULES_SQL}
+ORACLES: dict[str, str] = {"op7_rules": RULES_SQL, "op10_secrets": SECRETS_SQL}
 
 ORACLES["op9_chat"] = r"""
 WITH added AS (
