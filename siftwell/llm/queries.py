@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.bpe import op4_bpe
 from siftwell.llm.chat import op9_chat
+from siftwell.llm.decontaminate import ORACLE as DECONTAMINATION_SQL
+from siftwell.llm.decontaminate import op6_decontamination
 from siftwell.llm.html import op1_html
 from siftwell.llm.rules import ORACLE as RULES_SQL
 from siftwell.llm.rules import op7_rules
@@ -18,12 +20,13 @@ from siftwell.llm.sharding import op8_sharding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op4_bpe": op4_bpe,
+    "op6_decontamination": op6_decontamination,
     "op7_rules": op7_rules,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op7_rules": RULES_SQL, "op10_secrets": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op6_decontamination": DECONTAMINATION_SQL, "op7_rules": RULES_SQL, "op10_secrets": SECRETS_SQL}
 
 ORACLES["op9_chat"] = r"""
 WITH added AS (
