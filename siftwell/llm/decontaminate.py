@@ -11,7 +11,7 @@ shuffle join, and candidates fetch their texts by key.
 
 Defined results: null, empty or blank texts and items have no shingles and match nothing. A text with one to four words
 is one shingle, so a short item is found in documents that are just this item. Repeated rows give one pair. Equal items
-under several ids are several items. Columns not asked for are left out, whatever their names."""
+under several ids are several items; an item without an id is not looked for. Columns not asked for are left out, whatever their names."""
 
 from __future__ import annotations
 
