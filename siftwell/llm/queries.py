@@ -11,6 +11,7 @@ from siftwell.llm.chat import op9_chat
 from siftwell.llm.decontaminate import ORACLE as DECONTAMINATION_SQL
 from siftwell.llm.decontaminate import op6_decontamination
 from siftwell.llm.html import op1_html
+from siftwell.llm.quality import op5_quality
 from siftwell.llm.rules import ORACLE as RULES_SQL
 from siftwell.llm.rules import op7_rules
 from siftwell.llm.secrets import ORACLE as SECRETS_SQL
@@ -20,6 +21,7 @@ from siftwell.llm.sharding import op8_sharding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_rules": op7_rules,
     "op8_sharding": op8_sharding,
