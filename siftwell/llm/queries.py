@@ -11,6 +11,8 @@ from siftwell.llm.chat import op9_chat
 from siftwell.llm.decontaminate import ORACLE as DECONTAMINATION_SQL
 from siftwell.llm.decontaminate import op6_decontamination
 from siftwell.llm.html import op1_html
+from siftwell.llm.near_dup import ORACLE as NEAR_DUP_SQL
+from siftwell.llm.near_dup import op3_near_dup
 from siftwell.llm.quality import op5_quality
 from siftwell.llm.rules import ORACLE as RULES_SQL
 from siftwell.llm.rules import op7_rules
@@ -20,6 +22,7 @@ from siftwell.llm.sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
+    "op3_near_dup": op3_near_dup,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
@@ -28,7 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op6_decontamination": DECONTAMINATION_SQL, "op7_rules": RULES_SQL, "op10_secrets": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op3_near_dup": NEAR_DUP_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op7_rules": RULES_SQL, "op10_secrets": SECRETS_SQL}
 
 ORACLES["op9_chat"] = r"""
 WITH added AS (
