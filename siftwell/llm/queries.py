@@ -19,9 +19,11 @@ from siftwell.llm.rules import op7_rules
 from siftwell.llm.secrets import ORACLE as SECRETS_SQL
 from siftwell.llm.secrets import op10_secrets
 from siftwell.llm.sharding import op8_sharding
+from siftwell.llm.substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_near_dup": op3_near_dup,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
