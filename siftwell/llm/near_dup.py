@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import slices, table
+from siftwell.llm.common import WORD, slices, table
 from siftwell.operators.skew import hot_join
 from siftwell.session import cut_lineage
 
@@ -204,7 +204,7 @@ def _enough(n: Column, rest: Column, other_n: Column, other_rest: Column, percen
 
 
 def classes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, set, label (id of the class) of rows (doc_id, _row, _text); nodes' ids are internal."""
+    """doc_id, _row, n, set, label (id of the class, null for an empty set) of rows (doc_id, _row, _text); nodes' ids are internal."""
     signed = cut_lineage(signatures(rows))
     some = signed.where("n > 0")
     nodes = some.groupBy("set").agg(F.min(F.struct("_row", "n", "bands")).alias("_node"), F.count("*").alias("copies"))
@@ -254,9 +254,9 @@ def classes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not rest.isEmpty():
         labels = merge(links.union(verified(rest, sets, percent)))
     node_labels = cut_lineage(_labelled(nodes.select("id", "set", "copies"), labels).select("set", "label", "copies"))
-    empty = signed.where("n = 0").select("doc_id", "n", "set", F.lit(None).cast("bigint").alias("label"))
+    empty = signed.where("n = 0").select("doc_id", "_row", "n", "set", F.lit(None).cast("bigint").alias("label"))
     labelled = hot_join(some.select("doc_id", "_row", "n", "set"), node_labels, ["set"], "copies", ["doc_id", "_row"])
-    return labelled.select("doc_id", "n", "set", "label").union(empty)
+    return labelled.select("doc_id", "_row", "n", "set", "label").union(empty)
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,11 +264,15 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def document_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, _row (hash of id and text), _text."""
+    body = F.coalesce(df[text], F.lit(""))
+    return df.select("doc_id", F.xxhash64(df["doc_id"], body).alias("_row"), body.alias("_text"))
+
+
 def components(df: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of df."""
-    body = F.coalesce(df[text], F.lit(""))
-    rows = df.select("doc_id", F.xxhash64(df["doc_id"], body).alias("_row"), body.alias("_text"))
-    found = cut_lineage(classes(rows, percent))
+    found = cut_lineage(classes(document_rows(df, text), percent))
     smallest = found.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_w"))
     linked = hot_join(found.where("label IS NOT NULL"), cut_lineage(smallest), ["label"], "_w", ["doc_id", "set"])
     single = found.where("label IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -277,6 +281,20 @@ def components(df: DataFrame, text: str = "text", percent: int = PERCENT) -> Dat
     )
 
 
+def one_of_each(df: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of df with one of each class: the one with the smallest id, null last, and of repeated rows the smallest by
+    their other columns. Rows with an empty set stay."""
+    found = cut_lineage(classes(document_rows(df, text), percent))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")).alias("_first")
+    chosen = found.where("label IS NOT NULL").groupBy("label").agg(first).select("_first._row")
+    chosen = cut_lineage(chosen.union(found.where("label IS NULL").select("_row")).distinct())
+    body = F.coalesce(df[text], F.lit(""))
+    rows = df.withColumn("_row", F.xxhash64(df["doc_id"], body)).join(chosen, "_row", "left_semi")
+    blank = ~body.rlike(WORD)
+    once = rows.where(~blank).groupBy("_row").agg(F.min(F.struct(*df.columns)).alias("_kept")).select("_kept.*")
+    return once.union(rows.where(blank).select(*df.columns))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and verdict of every document."""
     return components(table(spark, sf_dir, "documents"))

@@ -145,12 +145,11 @@ def window_bits(counts: DataFrame) -> DataFrame:
     return joined.select("lang", "gram", (-F.log2(p3)).alias("bits"))
 
 
-def document_bits(docs: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, _lang, n_symbols, bits (sum; null where the language has no model) of documents (doc_id, lang, _text)."""
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "_text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "lang", "_text"
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def document_bits(docs: DataFrame, bits: DataFrame, blocks: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep columns, _lang, n_symbols, bits (sum; null where the language has no model) of documents (keep columns, lang,
+    _text)."""
+    dealt = docs.select(F.pmod(F.xxhash64(keep[0], "_text"), F.lit(blocks)).cast("int").alias("block"), *keep, "lang", "_text")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def ask(group: pa.Table) -> pa.Table:
         parts = []
@@ -177,20 +176,20 @@ def document_bits(docs: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
                 sums = np.concatenate([[0.0], np.cumsum(values[order][np.searchsorted(grams[order], codes)])])
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 totals[mine] = sums[ends[1:]] - sums[ends[:-1]]
-        return pa.table({"doc_id": group.column("doc_id"), "_lang": group.column("lang"), "n_symbols": pa.array(sizes), "bits": pa.array(totals, from_pandas=True)})
+        return pa.table({**{c: group.column(c) for c in keep}, "_lang": group.column("lang"), "n_symbols": pa.array(sizes), "bits": pa.array(totals, from_pandas=True)})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, lang string, gram bigint")
     answers = asked.join(bits, ["lang", "gram"]).select("block", "lang", "gram", "bits")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, _lang string, n_symbols bigint, bits double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"{kinds}, _lang string, n_symbols bigint, bits double")
 
 
 def score(
     docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", quantile: float = QUANTILE,
-    margin: float = MARGIN_BITS, max_broadcast: int = MAX_BROADCAST,
+    margin: float = MARGIN_BITS, max_broadcast: int = MAX_BROADCAST, keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, score, threshold, kept: one row for each row of docs. trusted has doc_id."""
+    """keep columns (doc_id first), lang, n_symbols, perplexity, score, threshold, kept: one row for each row of docs. trusted has doc_id."""
     rows = docs.select(
-        "doc_id", F.coalesce(docs[lang], F.lit("")).alias("lang"), normal_text(docs[text]).alias("_text"), docs[lang].isNull().alias("_no_lang")
+        *keep, F.coalesce(docs[lang], F.lit("")).alias("lang"), normal_text(docs[text]).alias("_text"), docs[lang].isNull().alias("_no_lang")
     )
     # a null language differs from an empty one by a character that no language has
     rows = rows.withColumn("lang", F.when(F.col("_no_lang"), F.lit("\x00")).otherwise(F.col("lang"))).drop("_no_lang")
@@ -199,7 +198,7 @@ def score(
     flag = lambda df: df.join(known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     bits = cut_lineage(window_bits(window_counts(flag(rows))))
     size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
-    found = cut_lineage(document_bits(rows, bits, size // BLOCK_BYTES + 1))
+    found = cut_lineage(document_bits(rows, bits, size // BLOCK_BYTES + 1, keep))
     flagged = cut_lineage(flag(found.withColumnRenamed("_lang", "lang")))
     means = flagged.where("trusted AND n_symbols > 0").groupBy("lang").agg((F.sum("bits") / F.sum("n_symbols")).alias("_mean"))
     sizes = flagged.groupBy("lang").agg(F.count("*").alias("_rows"))
@@ -215,7 +214,7 @@ def score(
     limits = running.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg((F.min("step") / STEPS + margin).alias("threshold"))
     judged = hot_join(scored, cut_lineage(sizes.join(limits, "lang", "left")), ["lang"], "_rows", ["doc_id"])
     return judged.select(
-        "doc_id",
+        *keep,
         F.when(F.col("lang") != "\x00", F.col("lang")).alias("lang"),
         "n_symbols",
         F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_symbols"))).alias("perplexity"),

@@ -186,7 +186,7 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] =
     queries = {rule.kind: query for rule in rules if (query := trigram_query(rule.pattern)) is not True}
     index = cut_lineage(trigram_index(rows, set().union(*map(trigrams_of, queries.values()))))
     found = cut_lineage(candidates(index, queries))
-    joined = hot_join(rows, found, ["_key"], "n", list(keep), "left")
+    joined = hot_join(rows, found, ["_key"], "n", [keep[0]], "left")
     spans = []
     for number, rule in enumerate(rules):
         all_spans = match_spans(F.col("_text"), rule, number)
@@ -203,6 +203,21 @@ def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     )
 
 
+def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
+    """The text with mask in place of every stretch that spans cover; spans that overlap share one mask."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["at"].cast("int") + 1, (span["start"] - state["at"]).cast("int"))
+        parts = F.when(span["start"] < state["at"], state["parts"]).otherwise(F.concat(state["parts"], F.array(gap, F.lit(mask))))
+        return F.struct(F.greatest(span["end"], state["at"]).alias("at"), parts.alias("parts"))
+
+    def close(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"].cast("int") + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, close)).otherwise(text)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     found = scan(table(spark, sf_dir, "documents"))
