@@ -17,10 +17,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier keeps; it is trained on the trusted ones among them. Rows are told apart by two
     hashes of id, language and text; null ids and texts are kept like others."""
     key = [docs["doc_id"], docs["lang"], docs["text"]]
-    rows = docs.withColumns({"_row": F.xxhash64(*key), "_row2": F.hash(*key)})
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64(*key).alias("_row"), F.hash(*key).alias("_row2"), F.struct("*").alias("_doc"))
     scored = quality.score(rows, quality.trusted_ids(table(spark, sf_dir, "labels")), keep=("doc_id", "_row", "_row2"))
     rejected = cut_lineage(scored.where(~F.col("kept")).select("_row", "_row2").distinct())
-    return rows.join(rejected, ["_row", "_row2"], "left_anti").select(*docs.columns)
+    return rows.join(rejected, ["_row", "_row2"], "left_anti").select("_doc.*")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that hold no benchmark item. Null texts hold none."""
     found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
     leaks = cut_lineage(found.select("_key").distinct())
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(docs["text"], F.lit(""))))
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.md5(F.coalesce(docs["text"], F.lit(""))).alias("_key"), F.struct("*").alias("_doc"))
+    return keyed.join(leaks, "_key", "left_anti").select("_doc.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked and n_chars counted anew where the text has changed."""
-    found = secrets.scan(docs, keep=tuple(docs.columns))
-    masked = found.withColumn("_masked", secrets.redacted(F.col("_text"), F.col("spans")))
+    found = secrets.scan(docs.select("text", F.struct("*").alias("_doc")), keep=("_doc",))
+    masked = found.select("_doc", "spans", secrets.redacted(F.col("_text"), F.col("spans")).alias("_masked"))
+    new = {"text": F.col("_masked"), "n_chars": F.length("_masked").cast("bigint")}
+    columns = [F.col("_doc")[c] for c in docs.columns]
     changed = F.size("spans") > 0
-    new = {
-        "text": F.when(changed, F.col("_masked")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.length("_masked").cast("bigint")).otherwise(F.col("n_chars")),
-    }
-    return masked.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    return masked.select(
+        *(F.when(changed, new[c]).otherwise(old).alias(c) if c in new else old.alias(c) for c, old in zip(docs.columns, columns, strict=True))
+    )
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,10 +289,10 @@ def one_of_each(df: DataFrame, text: str = "text", percent: int = PERCENT) -> Da
     chosen = found.where("label IS NOT NULL").groupBy("label").agg(first).select("_first._row")
     chosen = cut_lineage(chosen.union(found.where("label IS NULL").select("_row")).distinct())
     body = F.coalesce(df[text], F.lit(""))
-    rows = df.withColumn("_row", F.xxhash64(df["doc_id"], body)).join(chosen, "_row", "left_semi")
-    blank = ~body.rlike(WORD)
-    once = rows.where(~blank).groupBy("_row").agg(F.min(F.struct(*df.columns)).alias("_kept")).select("_kept.*")
-    return once.union(rows.where(blank).select(*df.columns))
+    rows = df.select(F.xxhash64(df["doc_id"], body).alias("_row"), body.rlike(WORD).alias("_words"), F.struct("*").alias("_doc"))
+    rows = rows.join(chosen, "_row", "left_semi")
+    once = rows.where("_words").groupBy("_row").agg(F.min("_doc").alias("_doc")).select("_doc.*")
+    return once.union(rows.where("NOT _words").select("_doc.*"))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
