@@ -58,16 +58,20 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], sizes
 
 
+def _those(langs: list[str], lang: str) -> np.ndarray:
+    return np.fromiter((x == lang for x in langs), bool, len(langs))
+
+
 def window_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n: windows of all documents (lang, _text, trusted) and how often trusted ones have them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "_text", 8 << 20):
-            langs = np.array(piece.column("lang").to_pylist(), object)
+            langs = piece.column("lang").to_pylist()
             trusted = piece.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
             texts = np.array(piece.column("_text").to_pylist(), object)
             for lang in set(langs):
-                mine = langs == lang
+                mine = _those(langs, lang)
                 codes, sizes = windows(texts[mine].tolist())
                 weights = np.repeat(trusted[mine], sizes)
                 if len(codes):
@@ -153,23 +157,23 @@ def document_bits(docs: DataFrame, bits: DataFrame, blocks: int, keep: tuple[str
 
     def ask(group: pa.Table) -> pa.Table:
         parts = []
-        langs = np.array(group.column("lang").to_pylist(), object)
+        langs = group.column("lang").to_pylist()
         texts = np.array(group.column("_text").to_pylist(), object)
         block = group.column("block")[0].as_py()
         for lang in set(langs):
-            grams = np.unique(windows(texts[langs == lang].tolist())[0])
+            grams = np.unique(windows(texts[_those(langs, lang)].tolist())[0])
             n = len(grams)
             parts.append(pa.table({"block": pa.array(np.full(n, block, np.int32)), "lang": pa.array([lang] * n, pa.string()), "gram": pa.array(grams)}))
         return pa.concat_tables(parts)
 
     def add_up(group: pa.Table, answers: pa.Table) -> pa.Table:
-        langs = np.array(group.column("lang").to_pylist(), object)
+        langs = group.column("lang").to_pylist()
         texts = np.array(group.column("_text").to_pylist(), object)
-        answered = np.array(answers.column("lang").to_pylist(), object)
+        answered = answers.column("lang").to_pylist()
         grams, values = answers.column("gram").to_numpy(), answers.column("bits").to_numpy()
         totals, sizes = np.full(len(langs), np.nan), np.fromiter(map(len, texts), np.int64, len(texts))
         for lang in set(langs):
-            mine, model = np.flatnonzero(langs == lang), np.flatnonzero(answered == lang)
+            mine, model = np.flatnonzero(_those(langs, lang)), np.flatnonzero(_those(answered, lang))
             if len(model):
                 order = model[np.argsort(grams[model])]
                 codes, counts = windows(texts[mine].tolist())
@@ -188,11 +192,9 @@ def score(
     margin: float = MARGIN_BITS, max_broadcast: int = MAX_BROADCAST, keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """keep columns (doc_id first), lang, n_symbols, perplexity, score, threshold, kept: one row for each row of docs. trusted has doc_id."""
-    rows = docs.select(
-        *keep, F.coalesce(docs[lang], F.lit("")).alias("lang"), normal_text(docs[text]).alias("_text"), docs[lang].isNull().alias("_no_lang")
-    )
-    # a null language differs from an empty one by a character that no language has
-    rows = rows.withColumn("lang", F.when(F.col("_no_lang"), F.lit("\x00")).otherwise(F.col("lang"))).drop("_no_lang")
+    # a language is written with a sign before it, which leaves the empty string for null
+    named = F.coalesce(F.concat(F.lit("="), docs[lang]), F.lit(""))
+    rows = docs.select(*keep, named.alias("lang"), normal_text(docs[text]).alias("_text"))
     ids = cut_lineage(trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True)))
     known = F.broadcast(ids) if ids.count() <= max_broadcast else ids
     flag = lambda df: df.join(known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
@@ -215,7 +217,7 @@ def score(
     judged = hot_join(scored, cut_lineage(sizes.join(limits, "lang", "left")), ["lang"], "_rows", ["doc_id"])
     return judged.select(
         *keep,
-        F.when(F.col("lang") != "\x00", F.col("lang")).alias("lang"),
+        F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 20)).alias("lang"),
         "n_symbols",
         F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_symbols"))).alias("perplexity"),
         "score",
