@@ -8,10 +8,11 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from siftwell.session import build_session
 
-    session = build_session("8", "tests")
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session("8", "tests", **{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     session.stop()
 
