@@ -56,4 +56,4 @@ def prune_datasets(df: DataFrame, id_col: str = "msg_id") -> DataFrame:
         .where((F.col("_ham") > 0) & (F.col("_spam") > 0))
         .select("dataset")
     )
-    return lookup(df, full, ["dataset"], [id_col])
+    return lookup(df, full, ["dataset"])

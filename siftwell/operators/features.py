@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from siftwell.sources.tagged import parse_tagged
 
 SCALARS = [*STYLE_COLUMNS, "non_spam_words", "spam_words"]
 TREE_SCALARS = ["depth", "most_children", "n_relations"]
-MAX_WIDTH = 1 << 20  # a linear model keeps its weights on the driver; wider vocabularies are hashed to this width
+MAX_WIDTH = 1 << 26  # terms of a vocabulary; a linear model keeps its weights on the driver, so more than that fails
 
 
 def annotate(messages: DataFrame, annotations: DataFrame, id_col: str = "msg_id") -> DataFrame:
@@ -39,6 +39,7 @@ def long_features(
     vocab_hits: DataFrame | None = None,
     bag: DataFrame | None = None,
     tokens: DataFrame | None = None,
+    tree_tokens: DataFrame | None = None,
     with_tags: bool = False,
     with_trees: bool = False,
     text: str = "text",
@@ -48,7 +49,8 @@ def long_features(
 ) -> DataFrame:
     """features(msg_id, kind, term, value): n-gram, class word, tag, tree and style blocks. Zeros are left out. With
     gate a message without a letter of the script has no row, which is its zero vector. messages may be one of several
-    folds; vocab_hits and bag are made from training rows."""
+    folds; vocab_hits and bag are made from training rows. Tags are taken from tokens by sentence, trees from
+    tree_tokens by tree (parse_tagged with that unit)."""
     style = add_style(messages.select(id_col, text), text, script)
     blocks = [unpivot_scalars(style, STYLE_COLUMNS, "style", [id_col])]
     if vocab_hits is not None:
@@ -64,7 +66,7 @@ def long_features(
         blocks.append(numbered(tag_counts(tokens, id_col), "tag", "pos", "n"))
         blocks.append(numbered(ngram_sentences(tag_ngrams_of_tokens(tokens), id_col), "tag_ngram", "term", "n"))
     if with_trees:
-        nodes = reachable_nodes(tokens)
+        nodes = reachable_nodes(tree_tokens)
         shape = tree_shape(nodes, id_col=id_col)
         blocks.append(unpivot_scalars(shape, TREE_SCALARS, "tree", [id_col]))
         blocks.append(numbered(path_ngram_counts(path_ngrams(nodes), id_col), "tree_ngram", "term", "n"))
@@ -125,8 +127,8 @@ class Vectoriser:
     """Messages to sparse MLlib vectors: n-gram presence, class word hits, style, and on request tag and tree counts,
     without a shuffle of the n-grams.
 
-    The vocabulary is that of the training rows. It has to fit the driver, as the weights of a linear model do, so its
-    size is checked; above max_width terms all of them are hashed to max_width slots and none is dropped."""
+    The vocabulary is that of the training rows. It has to fit the driver, as the weights of a linear model do: more
+    than max_width terms are an error, no terms share a slot and none is dropped."""
 
     def __init__(
         self, sizes: Sequence[int] = (1, 2, 3), kinds: Sequence[str] = ("word", "letter"), script: str = "hebrew",
@@ -142,14 +144,14 @@ class Vectoriser:
         self.bag = bag
         return self
 
-    def _counter(self, rows: DataFrame, binary: bool) -> tuple[CountVectorizerModel | HashingTF, int]:
+    def _counter(self, rows: DataFrame, binary: bool) -> tuple[CountVectorizerModel, int]:
         name = rows.columns[0]
         made = {"binary": binary, "inputCol": name, "outputCol": f"{name}_v"}
         counter = CountVectorizer(vocabSize=self.max_width + 1, minDF=1.0, **made).fit(rows)
         empty = rows.sparkSession.createDataFrame([([],)], f"{name} array<string>")
         width = counter.transform(empty).select(F.col(f"{name}_v").alias("v", metadata={})).first().v.size
         if width > self.max_width:
-            return HashingTF(numFeatures=self.max_width, **made), self.max_width
+            raise ValueError(f"the vocabulary has more than max_width={self.max_width} terms")
         return counter, width
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ("msg_id", "label", "fold")) -> DataFrame:

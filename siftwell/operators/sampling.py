@@ -24,7 +24,7 @@ def cap_per_class(
         kept = top_n_per_group(ids, groups, [F.col(id_col)], n, [id_col])
         last = kept.groupBy(*groups).agg(F.max(id_col).alias("_last"))
         out = (
-            lookup(out, last, groups, [id_col], "left")
+            lookup(out, last, groups, "left")
             .where((F.col("label") != label) | (F.col(id_col) <= F.col("_last")))
             .drop("_last")
         )
@@ -56,14 +56,14 @@ def stratified_split(
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
         .select(*strata, "_bucket", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_rest"))
     )
-    inside = lookup(ids.withColumn("_bucket", bucket), cut, [*strata, "_bucket"], ["_key"])
+    inside = lookup(ids.withColumn("_bucket", bucket), cut, [*strata, "_bucket"])
     last = (
         inside.withColumn("_r", F.row_number().over(W.partitionBy(*strata).orderBy("_key")))
         .where(F.col("_r") == F.col("_rest"))
         .select(*strata, F.col("_key").alias("_last"))
     )
     return (
-        lookup(df, last, strata, [key], "left")
+        lookup(df, last, strata, "left")
         .withColumn("is_test", F.coalesce((seeded_key(F.col(key), seed) <= F.col("_last")).cast("int"), F.lit(0)))
         .drop("_last")
     )

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siftwell.session import cut_lineage
+
 HOT = 1024  # a key is hot above 1/HOT of all rows, so there are fewer than HOT hot keys
-MAX_LOOKUP_ROWS = 100_000
 
 
 def _salt(columns: Sequence[str], n: Column | int) -> Column:
@@ -41,23 +42,10 @@ def hot_join(
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    salt_by: Sequence[str],
-    how: str = "inner",
-    max_rows: int = MAX_LOOKUP_ROWS,
-    salts: int = 256,
-) -> DataFrame:
-    """Join to a table of one row per group. Up to max_rows it is fetched once and broadcast; a larger one is joined
-    by shuffle with every group cut into salts."""
-    on = list(on)
-    rows = right.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return left.join(F.broadcast(left.sparkSession.createDataFrame(rows, right.schema)), on, how)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.withColumn("_salt", _salt(salt_by, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join to a table of one row per group. The table is written first, so the planner knows its size and broadcasts
+    it below Spark's own threshold; beyond that AQE splits the groups that are too large for a task."""
+    return left.join(cut_lineage(right), list(on), how)
 
 
 def top_n_per_group(

@@ -62,7 +62,14 @@ oracle(
 oracle(
     "mailbox_messages",
     f"""SELECT msg_id AS msg_no, replace(substr(text, 1, 20), chr(10), ' ') AS subject,
-  replace(substr(text, 1, 20), chr(10), ' ') || {q(SUBJECT)} || text AS body FROM docs WHERE lang <> 'es'""",
+  replace(substr(text, 1, 20), chr(10), ' ') || {q(SUBJECT)} || text AS body FROM docs
+  WHERE lang <> 'es' AND NOT (lang = 'fr' AND msg_id % 3 = 2 AND regexp_matches(text, '[^\x00-\x7f]'))""",
+    DOCS,
+)
+oracle(
+    "mailbox_rejects",
+    """SELECT msg_id AS msg_no, CASE WHEN lang = 'es' THEN 'no plain text' ELSE 'UnicodeDecodeError' END AS error FROM docs
+  WHERE lang = 'es' OR (lang = 'fr' AND msg_id % 3 = 2 AND regexp_matches(text, '[^\x00-\x7f]'))""",
     DOCS,
 )
 oracle(
@@ -605,7 +612,8 @@ nb AS (SELECT m.msg_id, m.fold, m.label, coalesce(s0, 0) + p0 AS score0, coalesc
   LEFT JOIN ss ON ss.msg_id = m.msg_id JOIN pr ON pr.fold = m.fold)"""
 
 
-CENFOLD = f"cf AS (SELECT *, {fold('msg_id')} AS fold FROM cen)"
+ONCE = "SELECT min(msg_id) AS msg_id, label, text FROM {} GROUP BY label, text"
+CENFOLD = f"cf AS (SELECT *, {fold('text')} AS fold FROM ({ONCE.format('cen')}))"
 oracle(
     "naive_bayes_scores",
     """SELECT msg_id, fold, label, (score1 > score0)::INT AS predicted, round(score0, 3) AS score0, round(score1, 3) AS score1
@@ -615,8 +623,8 @@ oracle(
     CENFOLD,
     bayes("cf"),
 )
-HOLD = """ho AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('1|' || msg_id))
-  <= floor(count(*) OVER (PARTITION BY label) * 0.25 + 0.5))::INT - 1 AS fold FROM lab)"""
+HOLD = f"""ho AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('1|' || text))
+  <= floor(count(*) OVER (PARTITION BY label) * 0.25 + 0.5))::INT - 1 AS fold FROM ({ONCE.format("lab")}))"""
 oracle(
     "naive_bayes_holdout",
     """SELECT msg_id, label, (score1 > score0)::INT AS predicted, round(score0, 3) AS score0, round(score1, 3) AS score1 FROM nb""",
@@ -760,44 +768,54 @@ def grid_run(run_id: int, name: str, k: int, cap: int | None, union: bool) -> st
     """Summary rows of one run and dataset, self-contained below the CTE `hv`."""
     rows = f"""SELECT msg_id, dataset, label, text FROM hv
     QUALIFY label = 1 OR row_number() OVER (PARTITION BY dataset, label ORDER BY msg_id) <= {cap or 1 << 40}"""
-    if union:
-        rows = f"SELECT min(msg_id) AS msg_id, label, text FROM ({rows}) GROUP BY label, text"
-    else:
+    if not union:
         rows = f"SELECT * FROM ({rows}) WHERE dataset = '{name}'"
-    folded = f"{fold('msg_id', k)} AS fold" if k > 1 else HOLD[HOLD.index("(row_number") : HOLD.index(" FROM lab")]
+    once = ONCE.format(f"({rows})")
+    folded = f"{fold('text', k)} AS fold" if k > 1 else HOLD[HOLD.index("(row_number") : HOLD.index(" FROM (SELECT min")]
+    rows = once if union else rows
     return f"""SELECT {run_id}::INT AS run_id, '{name}' AS dataset, {k}::INT AS k, 0.25::DOUBLE AS split, {str(union).lower()} AS is_union,
   false AS is_morphological, false AS has_tags, false AS has_trees,
-  -1::INT AS spam_cap, {cap or -1}::INT AS non_spam_cap, * FROM (WITH rw AS ({rows}), src AS MATERIALIZED (SELECT *, {folded} FROM rw),
+  -1::INT AS spam_cap, {cap or -1}::INT AS non_spam_cap, * FROM (WITH rw AS ({rows}), src AS MATERIALIZED (SELECT *, {folded} FROM ({once})),
 {bayes("src")},
 {SCORED} SELECT * FROM ({FOLD_SUMMARY}), (SELECT count(*) AS n_messages, count(*) FILTER (label = 1) AS n_spam,
-  count(*) FILTER (label = 0) AS n_non_spam FROM src))"""
+  count(*) FILTER (label = 0) AS n_non_spam FROM rw))"""
 
 
 oracle(
     "experiment_grid",
     " UNION ALL ".join(
         [grid_run(i, n, 5, cap, False) for i, cap in ((0, None), (1, 100)) for n in ("sms", "email")]
-        + [grid_run(2, "both", 1, 6000, True)]
+        + [grid_run(2, "both", 1, None, True)]
     ),
     LAB,
     "hv AS (SELECT * REPLACE (CASE WHEN len(dataset) % 2 = 0 THEN 'sms' ELSE 'email' END AS dataset) FROM lab)",
 )
 
 N_SCALARS = 24
-MODEL_FEATURES = [
-    LAB,
-    TRAIN.replace("FROM lab)", "FROM fl)").replace("fo AS", "fl AS (SELECT * REPLACE (replace(text, chr(10), ' ') AS text) FROM lab), fo AS", 1),
-    STYLE.replace("FROM cen)", "FROM fl)"),
-    word_grams("fl", "g", "msg_id", (1,)),
-    class_words("tr", "cw"),
-    f"""ff AS MATERIALIZED (SELECT DISTINCT msg_id, 'word:' || term AS f, 1.0::DOUBLE AS v FROM g
+
+
+def model_oracle(name: str, sql: str, *ctes: str) -> None:
+    """The rows of all five folds. fl holds each text once per class; in sql and ctes, :fold stands for the fold."""
+    parts = [
+        LAB,
+        f"""fl AS ({ONCE.format("(SELECT msg_id, label, replace(text, chr(10), ' ') AS text FROM lab)")}),
+fo AS (SELECT *, {fold("text")} AS fold FROM fl), tr AS (SELECT * FROM fo WHERE fold <> :fold), te AS (SELECT * FROM fo WHERE fold = :fold)""",
+        STYLE.replace("FROM cen)", "FROM fl)"),
+        word_grams("fl", "g", "msg_id", (1,)),
+        class_words("tr", "cw"),
+        f"""ff AS MATERIALIZED (SELECT DISTINCT msg_id, 'word:' || term AS f, 1.0::DOUBLE AS v FROM g
   UNION ALL SELECT msg_id, 'style:' || term, value FROM ({STYLE_UNION})
   UNION ALL SELECT msg_id, 'class:' || cw.label, count(*) FROM (SELECT msg_id, unnest({words(script_only("text"))}) AS word FROM fl) t
     JOIN cw ON t.word = cw.word GROUP BY msg_id, cw.label)""",
-]
-oracle(
+        *ctes,
+    ]
+    whole = "WITH " + ",\n".join(parts) + "\n" + sql.strip()
+    ORACLES[name] = "\nUNION ALL\n".join(f"SELECT * FROM ({whole.replace(':fold', str(f))})" for f in range(5))
+
+
+model_oracle(
     "model_naive_bayes",
-    f"""SELECT msg_id, 'MultinomialNB' AS model, 0 AS fold, label, (s1 > s0)::INT AS predicted FROM (
+    f"""SELECT msg_id, 'MultinomialNB' AS model, :fold::INT AS fold, label, (s1 > s0)::INT AS predicted FROM (
   SELECT te.msg_id, te.label,
     any_value(ln((d0 + 1) / (d0 + d1 + 2))) + sum(v * ln((coalesce(n0, 0) + 1) / (t0 + width + {N_SCALARS}))) AS s0,
     any_value(ln((d1 + 1) / (d0 + d1 + 2))) + sum(v * ln((coalesce(n1, 0) + 1) / (t1 + width + {N_SCALARS}))) AS s1
@@ -805,14 +823,13 @@ oracle(
     (SELECT count(*) FILTER (label = 0) AS d0, count(*) FILTER (label = 1) AS d1 FROM tr),
     (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) FILTER (f LIKE 'word:%') AS width FROM nt)
   WHERE ff.f NOT LIKE 'word:%' OR nt.f IS NOT NULL GROUP BY te.msg_id, te.label)""",
-    *MODEL_FEATURES,
     """nt AS MATERIALIZED (SELECT f, sum(CASE WHEN label = 0 THEN v ELSE 0 END) AS n0, sum(CASE WHEN label = 1 THEN v ELSE 0 END) AS n1
   FROM ff JOIN tr ON ff.msg_id = tr.msg_id GROUP BY f)""",
 )
 
-oracle(
+model_oracle(
     "model_k_neighbours",
-    """SELECT te.msg_id, 'KNeighbors' AS model, 0 AS fold, te.label, v.predicted FROM te JOIN (
+    """SELECT te.msg_id, 'KNeighbors' AS model, :fold::INT AS fold, te.label, v.predicted FROM te JOIN (
   SELECT a AS msg_id, label AS predicted FROM (SELECT a, label, count(*) AS n FROM (
     SELECT te.msg_id AS a, tr.label, row_number() OVER (PARTITION BY te.msg_id ORDER BY
       round(x.s + y.s - 2 * coalesce(d.s, 0), 9), tr.msg_id) AS r
@@ -820,7 +837,6 @@ oracle(
     LEFT JOIN dt d ON d.a = te.msg_id AND d.b = tr.msg_id)
     WHERE r <= 3 * floor(sqrt((SELECT count(*) FROM tr))) GROUP BY a, label)
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, label) = 1) v ON v.msg_id = te.msg_id""",
-    *MODEL_FEATURES,
     """nm AS MATERIALIZED (SELECT msg_id, sum(v * v) AS s FROM ff GROUP BY msg_id),
 dt AS MATERIALIZED (SELECT p.msg_id AS a, q.msg_id AS b, sum(p.v * q.v) AS s FROM ff p JOIN ff q ON p.f = q.f
   WHERE p.msg_id IN (SELECT msg_id FROM te) AND q.msg_id IN (SELECT msg_id FROM tr) GROUP BY p.msg_id, q.msg_id)""",

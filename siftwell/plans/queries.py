@@ -38,16 +38,33 @@ def chat_export_messages(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("path", "msg_no", "sender", stamp, "body")
 
 
-@query
-def mailbox_messages(spark: SparkSession, sf: str) -> DataFrame:
+def _mails(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as mails: base64, quoted-printable and 8-bit bodies in turn, Spanish ones as HTML, and French 8-bit ones
+    in Latin-1."""
     subject = F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" "))
     kind = F.when(F.col("lang") == "es", "text/html").otherwise("text/plain")
-    raw = F.concat(
-        F.lit("Subject: =?utf-8?b?"), F.base64(F.encode(subject, "utf-8")), F.lit("?=\nMIME-Version: 1.0\nContent-Type: "),
-        kind, F.lit('; charset="utf-8"\nContent-Transfer-Encoding: base64\n\n'), F.base64(F.encode("text", "utf-8")),
+    turn = F.col("msg_id") % 3
+    head = F.concat(
+        F.lit("Subject: =?utf-8?b?"), F.base64(F.encode(subject, "utf-8")), F.lit("?=\nMIME-Version: 1.0\nContent-Type: "), kind,
+        F.lit("\nContent-Transfer-Encoding: "),
+        F.when(turn == 0, "base64").when(turn == 1, "quoted-printable").otherwise("8bit"), F.lit("\n\n"),
     )
-    mails = I.documents(spark, sf).select(F.lit("box").alias("path"), F.col("msg_id").alias("msg_no"), raw.alias("raw"))
-    return mailbox.mail_messages(mailbox.parse_mails(mails)).select("msg_no", "subject", "body")
+    quoted = F.regexp_replace(F.hex(F.encode("text", "utf-8")), "(..)", "=$1")
+    latin = F.encode(F.regexp_replace("text", "[^\u0000-\u00ff]", "?"), "iso-8859-1")
+    eight = F.when(F.col("lang") == "fr", latin).otherwise(F.encode("text", "utf-8"))
+    body = F.when(turn == 0, F.encode(F.base64(F.encode("text", "utf-8")), "utf-8")).when(turn == 1, F.encode(quoted, "utf-8")).otherwise(eight)
+    raw = F.concat(F.encode(head, "utf-8"), body)
+    return I.documents(spark, sf).select(F.lit("box").alias("path"), F.col("msg_id").alias("msg_no"), raw.alias("raw"))
+
+
+@query
+def mailbox_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return mailbox.mail_messages(mailbox.parse_mails(_mails(spark, sf))).select("msg_no", "subject", "body")
+
+
+@query
+def mailbox_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return mailbox.mail_rejects(mailbox.parse_mails(_mails(spark, sf))).select("msg_no", "error")
 
 
 @query
@@ -498,10 +515,11 @@ def feature_blocks(spark: SparkSession, sf: str) -> DataFrame:
     text = I.turns(spark, sf).select("msg_id", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"), "role")
     grams = ngrams.explode_ngrams(text, kinds=["word"], sizes=[1], distinct=True)
     bag = classwords.class_words(text.withColumn("label", (F.col("role") == "user").cast("int")), script="latin")
-    tokens = tagged.parse_tagged(I.tagged(spark, sf), unit="tree")
+    notes = I.tagged(spark, sf)
     out = features.long_features(
-        text, ngrams.match_terms(grams, ngrams.fit_vocabulary(grams)), bag, tokens, True, True, script="latin"
-    )
+        text, ngrams.match_terms(grams, ngrams.fit_vocabulary(grams)), bag, tagged.parse_tagged(notes),
+        tagged.parse_tagged(notes, unit="tree"), True, True, script="latin",
+    )
     return out.withColumn("value", F.round("value", 6))
 
 
@@ -574,7 +592,7 @@ def boosting_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _model(spark: SparkSession, sf: str, name: str) -> DataFrame:
     out, _ = train_eval.model_predictions(
-        _flat(I.labelled(spark, sf)), 5, [name], [0], script="latin", sizes=[1], kinds=["word"], rounds=5, max_iter=10
+        _flat(I.labelled(spark, sf)), 5, [name], script="latin", sizes=[1], kinds=["word"], rounds=10, max_iter=100
     )
     return out
 

@@ -19,15 +19,22 @@ from siftwell.operators.features import Vectoriser, annotate, annotation_feature
 from siftwell.operators.models import MODEL_NAMES, classifiers, fit_and_predict
 from siftwell.operators.ngrams import explode_ngrams
 from siftwell.operators.sampling import add_folds, cap_per_class
+from siftwell.session import cut_lineage
 from siftwell.sources.tagged import plain_from_tagged
 
 
+def once_per_class(messages: DataFrame, key: str = "msg_id") -> DataFrame:
+    """A text stands once in a class, under its smallest id."""
+    return messages.groupBy("label", "text").agg(F.min(key).alias(key))
+
+
 def bayes_predictions(
     messages: DataFrame, k: int = 5, sizes: Sequence[int] = (1,), kinds: Sequence[str] = ("word",),
     key: str = "msg_id", fraction: float = 0.25,
 ) -> DataFrame:
-    """predictions of naive Bayes over n-gram presence for every fold, in one job. messages(msg_id, label, text)."""
-    folded = add_folds(messages, k, key, fraction=fraction)
+    """predictions of naive Bayes over n-gram presence for every fold, in one job. messages(msg_id, label, text). Folds go
+    by text, so none is in two of them."""
+    folded = cut_lineage(add_folds(once_per_class(messages, key), k, "text", fraction=fraction))
     grams = explode_ngrams(folded, kinds=kinds, sizes=sizes, keep=["msg_id", "fold", "label"], distinct=True)
     features = grams.select(
         "msg_id", "fold", "label", F.concat("kind", F.lit(":"), "term").alias("term"), F.lit(1.0).alias("value")
@@ -49,7 +56,7 @@ def model_predictions(
 ) -> tuple[DataFrame, list[tuple[str, int, float]]]:
     """(msg_id, model, fold, label, predicted) and fit times. Per fold the vocabulary and class words come from the
     training rows, and all models share one kept table of vectors. annotations: see annotation_features."""
-    folded = add_folds(messages, k, fraction=fraction)
+    folded = cut_lineage(add_folds(once_per_class(messages), k, "text", fraction=fraction))
     if annotations is not None:
         folded = annotate(folded, annotations)
     out, timings = None, []
@@ -73,7 +80,7 @@ class Run:
     k: int = 5
     split: float = 0.25
     spam_cap: int | None = None
-    non_spam_cap: int | None = 6000
+    non_spam_cap: int | None = None
     union: bool = False
     morphological: bool = False
     tags: bool = False

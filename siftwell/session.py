@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,27 +30,21 @@ def build_session(cores: str = "*", app: str = "siftwell", **conf: str) -> Spark
     return spark
 
 
-_own_dir: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset on a local master."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one in the warehouse, which executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="siftwell-"))
-    return _own_dir[0]
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder. It is computed once however often it is used, a lost executor costs a
-    read, and its size is known to the planner."""
-    path = f"{shared_dir(df.sparkSession)}/siftwell/{uuid.uuid4().hex}"
+    read, and its size is known to the planner. The table belongs to the application and goes when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/siftwell/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -34,9 +34,10 @@ def label_lines(lines: DataFrame, path: str = "path", line: str = "line") -> Dat
 
 
 def read_labelled(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """messages(msg_id, dataset, label, text). msg_id orders the lines of a file."""
+    """messages(msg_id, dataset, label, text). msg_id is a hash of path and line, so it does not depend on how files are
+    split; equal lines of a file share it, as they share their place in every fold and cap."""
     lines = spark.read.text(paths).select(
-        F.monotonically_increasing_id().alias("msg_id"),
+        F.xxhash64("_metadata.file_path", "value").alias("msg_id"),
         F.col("_metadata.file_path").alias("path"),
         F.col("value").alias("line"),
     )

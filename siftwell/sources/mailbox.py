@@ -29,9 +29,9 @@ def _first_subject(mail: email.message.Message) -> str:
     return unquote(first.decode("utf-8") if isinstance(first, bytes) else first)
 
 
-def _parse(raw: str) -> tuple[str | None, str | None, str | None]:
+def _parse(raw: bytes) -> tuple[str | None, str | None, str | None]:
     try:
-        mail = email.message_from_string(raw)
+        mail = email.message_from_bytes(raw)
         body = _plain_body(mail)
         if body is None:
             return None, None, "no plain text"
@@ -40,26 +40,32 @@ def _parse(raw: str) -> tuple[str | None, str | None, str | None]:
         return None, None, type(e).__name__
 
 
-def parse_mails(raw: DataFrame, mail: str = "raw", keep: tuple[str, ...] = ("path", "msg_no")) -> DataFrame:
-    """keep columns + subject, body, error. A double CRLF in the body becomes one."""
+def parse_mails(
+    raw: DataFrame, mail: str = "raw", keep: tuple[str, ...] = ("path", "msg_no"), from_line: bool = False
+) -> DataFrame:
+    """keep columns + subject, body, error. A mail is parsed as bytes, since its parts may be in any charset; bodies that
+    are not UTF-8 are errors. With from_line the first line is not part of the mail. A double CRLF in the body becomes
+    one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parsed = pd.DataFrame([_parse(r) for r in pdf.pop(mail)], columns=["subject", "body", "error"])
+            mails = (bytes(r) for r in pdf.pop(mail))
+            parsed = pd.DataFrame([_parse(r.partition(b"\n")[2] if from_line else r) for r in mails], columns=["subject", "body", "error"])
             yield pd.concat([pdf.reset_index(drop=True), parsed], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.select(*keep).schema)
-    out = raw.select(*keep, mail).mapInPandas(run, f"{kept}, {PARSED}")
+    out = raw.select(*keep, F.col(mail).cast("binary").alias(mail)).mapInPandas(run, f"{kept}, {PARSED}")
     return out.withColumn("body", F.regexp_replace("body", "\r\n\r\n", "\r\n"))
 
 
 def read_mbox(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per mail, split on the "From " line. Files are split like any text file."""
+    """One row per mail as bytes, with its "From " line. Files are split like any text file; msg_no is a hash of path
+    and mail, so it does not depend on the splits."""
     mails = spark.read.text(paths, lineSep="\nFrom ")
     return mails.select(
         F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("msg_no"),
-        F.regexp_replace("value", "^(?:From )?[^\n]*\n", "").alias("raw"),
+        F.xxhash64("_metadata.file_path", F.col("value").cast("binary")).alias("msg_no"),
+        F.col("value").cast("binary").alias("raw"),
     )
 
 

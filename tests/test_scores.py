@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.ml.classification import NaiveBayes
@@ -74,11 +75,21 @@ def test_bayes_equals_mllib(spark):
     assert a == b
 
 
-def test_wide_vocabularies_are_hashed_whole(spark):
+def test_wide_vocabularies_are_an_error(spark):
     rows = inputs.labelled(spark, FOLDER)
-    vectors = features.Vectoriser([1], ["word"], "latin", max_width=64, style=False).fit(rows, None)
-    sample = vectors.transform(rows).first()
-    assert sample.features.size == 64
+    with pytest.raises(ValueError, match="max_width=64"):
+        features.Vectoriser([1], ["word"], "latin", max_width=64, style=False).fit(rows, None)
+    vectors = features.Vectoriser([1], ["word"], "latin", style=False).fit(rows, None)
+    words = {w for r in rows.collect() for w in re.findall(r"[^ \t\n\x0b\f\r]+", r.text)}
+    assert vectors.transform(rows).first().features.size >= 0.9 * len(words)
+
+
+def test_no_text_is_in_two_folds(spark):
+    rows = inputs.labelled(spark, FOLDER)
+    doubled = rows.union(rows.withColumn("msg_id", F.col("msg_id") + 10**9))
+    found = train_eval.bayes_predictions(doubled).join(doubled.select("msg_id", "text"), "msg_id")
+    folds = found.groupBy("text").agg(F.countDistinct("fold").alias("folds"), F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+    assert folds.where("folds > 1 OR n > labels").isEmpty()
 
 
 def separable(spark):

@@ -69,13 +69,33 @@ def test_mailbox(spark, tmp_path):
     add("plain %41", [("plain", "body\nFromage stays\n")])
     add("no text", [("html", "<b>x</b>")])
     box.flush()
-    parsed = mailbox.parse_mails(mailbox.read_mbox(spark, str(tmp_path / "in.mbox")))
+    path = str(tmp_path / "in.mbox")
+    with open(path, "ab") as file:  # 8-bit mail, with and without a header that says so
+        for head, body in ((b"Content-Transfer-Encoding: 8bit\n", "שלום עולם".encode()), (b"", "naïve".encode()), (b"", "naïve".encode("latin-1"))):
+            file.write(b"From me Thu Jan  1 00:00:00 2024\nSubject: raw" + str(len(body)).encode() + b"\n" + head + b"\n" + body + b"\n\n")
+    parsed = mailbox.parse_mails(mailbox.read_mbox(spark, path), from_line=True)
     good = {r.subject: r.body.strip() for r in mailbox.mail_messages(parsed).collect()}
     assert good == {
         "שלום": "שלום MAILSUBJECTENDVAR  two B",
         "plain A": "plain A MAILSUBJECTENDVAR  body\nFromage stays",
+        "raw17": "raw17 MAILSUBJECTENDVAR  שלום עולם",
+        "raw6": "raw6 MAILSUBJECTENDVAR  naïve",
     }
-    assert [r.error for r in mailbox.mail_rejects(parsed).collect()] == ["no plain text"]
+    assert sorted(r.error for r in mailbox.mail_rejects(parsed).collect()) == ["UnicodeDecodeError", "no plain text"]
+
+
+def test_ids_do_not_depend_on_splits(spark, tmp_path):
+    for name in ("spam", "non_spam"):
+        (tmp_path / "sms").mkdir(exist_ok=True)
+        (tmp_path / "sms" / f"{name}.txt").write_text("\n".join(f"{name} line {i}" for i in range(2000)))
+    found = []
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found.append({(r.msg_id, r.label, r.text) for r in labelled.read_labelled(spark, str(tmp_path / "sms" / "*.txt")).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len({i for i, _, _ in found[0]}) == 4000
 
 
 def test_labelled_text_and_sink(spark, tmp_path):
