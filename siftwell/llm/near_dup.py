@@ -10,11 +10,10 @@ probability below 3e-7. What shares a bucket is then decided on whole sets:
    cannot reach 3/4 with anything are done.
 3. Each bucket has a hub, the node with the smallest part of such shingles. Members are verified against hubs only, and
    verified links are merged into classes, so a group of n copies costs about n comparisons.
-4. Pairs that still lie in one bucket but in different classes, and that sizes and bounds don't rule out, are all
-   verified, found from the side that is not in the bucket's largest class, and merged.
+4. Nodes of a bucket that are not in its largest class are compared with all others of the bucket, block by block, as
+   products of 0/1 matrices inside tasks of bounded size. Only links leave the tasks, and are merged.
 
-So no pair within a class is made that an earlier link has decided, nothing is capped, and every link between candidates
-counts. Hot sets, buckets, hubs and classes are salted in all joins by their exact numbers of rows.
+So pairs are never rows, nothing is capped, and every link between candidates counts. Hot sets, buckets, hubs and classes are salted in all joins by their exact numbers of rows.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and keep themselves; a text of
 one to four words is one shingle. Repeated rows are copies. component_id is the smallest id of the class (null if no row
@@ -38,7 +37,7 @@ from siftwell.session import cut_lineage
 SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 4, 40
-SIZE_CLASS = 1.1  # sizes of one class differ by less than this factor
+ASK_SHINGLES, MEMBER_SHINGLES = 100_000, 400_000  # of a block of a bucket, about
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CACHE_WORDS = 500_000
 
@@ -203,6 +202,84 @@ def _enough(n: Column, rest: Column, other_n: Column, other_rest: Column, percen
     return (100 + percent) * F.least(rest, other_rest, n, other_n) >= percent * (n + other_n)
 
 
+def _tile_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between the rows of one tile that are asked (asks = 1) and the others, as a product of two 0/1 matrices."""
+    asks = rows.column("asks").to_numpy() == 1
+    ids, n, rest, label = (rows.column(c).to_numpy() for c in ("id", "n", "rest", "label"))
+    q, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(q) or not len(y):
+        return []
+    least = np.minimum(rest[q][:, None], rest[y])
+    sums = n[q][:, None] + n[y]
+    open_pairs = (label[q][:, None] != label[y]) & ((100 + percent) * least >= percent * sums)
+    if not open_pairs.any():
+        return []
+    shingles = rows.column("shingles").combine_chunks()
+    ends, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+    flat, ends = flat[ends[0] : ends[-1]], ends - ends[0]
+    owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+    names, place = np.unique(flat, return_inverse=True)
+    shared = np.zeros((2, len(names)), bool)
+    shared[asks[owner].astype(int), place] = True
+    column = np.cumsum(shared.all(0)) - 1  # shingles that both sides have
+    used = shared.all(0)[place]
+    at, column = np.flatnonzero(used), column[place[used]]
+    row = np.empty(len(ids), np.int64)
+    row[q], row[y] = np.arange(len(q)), np.arange(len(y))
+    common = np.zeros((len(q), len(y)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        mine = (column >= low) & (column < low + 4096)
+        sides = []
+        for side, size in ((True, len(q)), (False, len(y))):
+            chosen = at[mine][asks[owner[at[mine]]] == side]
+            matrix = np.zeros((size, 4096), np.float32)
+            matrix[row[owner[chosen]], column[mine][asks[owner[at[mine]]] == side] - low] = 1
+            sides.append(matrix)
+        common += sides[0] @ sides[1].T
+    found = open_pairs & ((100 + percent) * common >= percent * sums)
+    return [(int(ids[q[i]]), int(ids[y[j]])) for i, j in zip(*np.nonzero(found), strict=True)]
+
+
+def undecided_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of a bucket that are in different classes, from members (bucket, id, n, rest, label).
+
+    Nodes outside their bucket's largest class are asked against all of the bucket, in tiles of bounded size: a bucket's
+    askers are cut into blocks of about ASK_SHINGLES shingles, its members into blocks of MEMBER_SHINGLES, and a task
+    compares blocks as matrices. Only links leave it."""
+    by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
+    top = F.max(F.struct("_m", "label", "_s")).alias("_top")
+    buckets = by_label.groupBy("bucket").agg(top, F.sum("_m").alias("_w"), F.sum("_s").alias("_all"), F.count("*").alias("_labels"))
+    blocks = lambda total, size: F.ceil(total / size).cast("int")
+    buckets = buckets.where("_labels > 1").select(
+        "bucket", "_w", F.col("_top.label").alias("_largest"),
+        blocks(F.col("_all") - F.col("_top._s"), ASK_SHINGLES).alias("_asked"), blocks(F.col("_all"), MEMBER_SHINGLES).alias("_held"),
+    )
+    mixed = cut_lineage(hot_join(members, cut_lineage(buckets), ["bucket"], "_w", ["id"]))
+
+    def side(rows: DataFrame, asks: int, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        tile = F.xxhash64("bucket", "_ask", "_hold").alias("tile")
+        placed = rows.withColumn("_ask" if asks else "_hold", block).select("*", copies.alias("_hold" if asks else "_ask"))
+        return placed.select(tile, F.lit(asks).alias("asks"), "id", "n", "rest", "label")
+
+    rows = cut_lineage(side(mixed.where("label <> _largest"), 1, "_asked", "_held").union(side(mixed, 0, "_held", "_asked")))
+    work = rows.agg(F.sum("n")).first()[0] or 0
+    whole = cut_lineage(sets.join(_weighted(rows, ["id"]), "id").select("id", "shingles", "_w"))
+    filled = hot_join(rows, whole, ["id"], "_w", ["tile"]).drop("_w")
+    dealt = filled.withColumn("_part", F.pmod(F.xxhash64("tile"), F.lit(work // (4 * MEMBER_SHINGLES) + 1)))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("tile").combine_chunks()
+        tiles = group.column("tile").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(tiles)) + 1, [len(tiles)]])
+        found = {pair for a, b in zip(cuts[:-1], cuts[1:], strict=True) for pair in _tile_links(group.slice(a, b - a).combine_chunks(), percent)}
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.min(1, initial=np.iinfo(np.int64).max), "b": pairs.max(1, initial=-1)})
+
+    return dealt.groupBy("_part").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def classes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, _row, n, set, label (id of the class, null for an empty set) of rows (doc_id, _row, _text); nodes' ids are internal."""
     signed = cut_lineage(signatures(rows))
@@ -232,27 +309,11 @@ def classes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = near.where(_enough(F.col("n"), F.col("rest"), F.col("_n"), F.col("_rest"), percent))
     pairs = cut_lineage(near.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct())
     links = cut_lineage(verified(pairs, sets, percent))
-    # pairs that the hubs haven't decided
+    # what the hubs haven't decided
     labels = merge(links)
-    left = _labelled(members, labels)
-    by_label = left.groupBy("bucket", "label").agg(F.count("*").alias("_m"))
-    largest = by_label.groupBy("bucket").agg(F.max(F.struct("_m", "label")).alias("_top"), F.sum("_m").alias("_w"), F.count("*").alias("_labels"))
-    largest = cut_lineage(largest.where("_labels > 1").select("bucket", F.col("_top.label").alias("_largest"), "_w"))
-    mixed = cut_lineage(hot_join(left, largest, ["bucket"], "_w", ["id"]).drop("_w"))
-    step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_CLASS))).cast("int")
-    most = (100 + percent) * F.col("rest") / percent - F.col("n") + 0.001  # size of the largest set that can still be linked
-    probes = mixed.where("label <> _largest").select(
-        "bucket", "id", "n", "rest", "label", F.explode(F.sequence(step(F.col("n") * percent / 100), step(F.greatest(most, F.lit(1.0))))).alias("step")
-    )
-    probes = cut_lineage(probes)
-    targets = mixed.select("bucket", step(F.col("n")).alias("step"), *(F.col(c).alias(f"_{c}") for c in ("id", "n", "rest", "label")))
-    asked = targets.join(_weighted(probes, ["bucket", "step"]), ["bucket", "step"])
-    met = hot_join(probes, cut_lineage(asked), ["bucket", "step"], "_w", ["id"], many=True).where("label <> _label")
-    met = met.where(_enough(F.col("n"), F.col("rest"), F.col("_n"), F.col("_rest"), percent))
-    rest = met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
-    rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = merge(links.union(verified(rest, sets, percent)))
+    more = cut_lineage(undecided_links(_labelled(members, labels), sets, percent))
+    if not more.isEmpty():
+        labels = merge(links.union(more))
     node_labels = cut_lineage(_labelled(nodes.select("id", "set", "copies"), labels).select("set", "label", "copies"))
     empty = signed.where("n = 0").select("doc_id", "_row", "n", "set", F.lit(None).cast("bigint").alias("label"))
     labelled = hot_join(some.select("doc_id", "_row", "n", "set"), node_labels, ["set"], "copies", ["doc_id", "_row"])
