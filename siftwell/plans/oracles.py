@@ -612,8 +612,8 @@ nb AS (SELECT m.msg_id, m.fold, m.label, coalesce(s0, 0) + p0 AS score0, coalesc
   LEFT JOIN ss ON ss.msg_id = m.msg_id JOIN pr ON pr.fold = m.fold)"""
 
 
-ONCE = "SELECT min(msg_id) AS msg_id, label, text FROM {} GROUP BY label, text"
-CENFOLD = f"cf AS (SELECT *, {fold('text')} AS fold FROM ({ONCE.format('cen')}))"
+PER_CLASS = "SELECT min(msg_id) AS msg_id, label, text FROM {} GROUP BY label, text"
+CENFOLD = f"cf AS (SELECT *, {fold('text')} AS fold FROM ({PER_CLASS.format("cen")}))"
 oracle(
     "naive_bayes_scores",
     """SELECT msg_id, fold, label, (score1 > score0)::INT AS predicted, round(score0, 3) AS score0, round(score1, 3) AS score1
@@ -624,7 +624,7 @@ oracle(
     bayes("cf"),
 )
 HOLD = f"""ho AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('1|' || text))
-  <= floor(count(*) OVER (PARTITION BY label) * 0.25 + 0.5))::INT - 1 AS fold FROM ({ONCE.format("lab")}))"""
+  <= floor(count(*) OVER (PARTITION BY label) * 0.25 + 0.5))::INT - 1 AS fold FROM ({PER_CLASS.format("lab")}))"""
 oracle(
     "naive_bayes_holdout",
     """SELECT msg_id, label, (score1 > score0)::INT AS predicted, round(score0, 3) AS score0, round(score1, 3) AS score1 FROM nb""",
@@ -761,6 +761,14 @@ oracle(
 )
 SCORED = """pd AS (SELECT 'MultinomialNB' AS model, msg_id, fold, label, (score1 > score0)::INT AS predicted FROM nb),
 cm AS""" + RULES.split("cm AS", 1)[1]
+oracle(
+    "dataset_build",
+    "SELECT DISTINCT 'sms' AS dataset, label, text FROM cen WHERE text <> ''",
+    f"""pt AS (SELECT conv_id, unnest(string_split({ONCE.format(ONCE.format("text"))}, chr(1))) AS text FROM conversations
+  WHERE regexp_matches(string_split({ONCE.format(ONCE.format("text"))}, chr(1))[1], '[{P.SCRIPTS["latin"]}]')),
+src AS (SELECT DISTINCT (conv_id % 2)::INT AS label, text FROM pt)""",
+    censored("src", glyphs=None),
+)
 oracle("spam_scores", FOLD_SUMMARY, LAB, censored("lab", glyphs=None), CENFOLD, bayes("cf"), SCORED)
 
 
@@ -770,7 +778,7 @@ def grid_run(run_id: int, name: str, k: int, cap: int | None, union: bool) -> st
     QUALIFY label = 1 OR row_number() OVER (PARTITION BY dataset, label ORDER BY msg_id) <= {cap or 1 << 40}"""
     if not union:
         rows = f"SELECT * FROM ({rows}) WHERE dataset = '{name}'"
-    once = ONCE.format(f"({rows})")
+    once = PER_CLASS.format(f"({rows})")
     folded = f"{fold('text', k)} AS fold" if k > 1 else HOLD[HOLD.index("(row_number") : HOLD.index(" FROM (SELECT min")]
     rows = once if union else rows
     return f"""SELECT {run_id}::INT AS run_id, '{name}' AS dataset, {k}::INT AS k, 0.25::DOUBLE AS split, {str(union).lower()} AS is_union,
@@ -798,7 +806,7 @@ def model_oracle(name: str, sql: str, *ctes: str) -> None:
     """The rows of all five folds. fl holds each text once per class; in sql and ctes, :fold stands for the fold."""
     parts = [
         LAB,
-        f"""fl AS ({ONCE.format("(SELECT msg_id, label, replace(text, chr(10), ' ') AS text FROM lab)")}),
+        f"""fl AS ({PER_CLASS.format("(SELECT msg_id, label, replace(text, chr(10), ' ') AS text FROM lab)")}),
 fo AS (SELECT *, {fold("text")} AS fold FROM fl), tr AS (SELECT * FROM fo WHERE fold <> :fold), te AS (SELECT * FROM fo WHERE fold = :fold)""",
         STYLE.replace("FROM cen)", "FROM fl)"),
         word_grams("fl", "g", "msg_id", (1,)),

@@ -14,8 +14,8 @@ from siftwell.functions import style as S
 from siftwell.functions import text as T
 from siftwell.operators import bayes, boosting, censor, classwords, clean, dedup, evaluate, features
 from siftwell.operators import neighbours, ngrams, sampling, stats, tags, trees
+from siftwell.plans import build, train_eval
 from siftwell.plans import inputs as I
-from siftwell.plans import train_eval
 from siftwell.session import shared_dir
 from siftwell.sources import chat, labelled, mailbox, tagged
 
@@ -101,6 +101,15 @@ def text_sink(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.read_labelled(spark, folder).select("dataset", "label", "text")
 
 
+@query
+def dataset_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as chat exports, of two classes, through the whole build."""
+    folder = f"{shared_dir(spark)}/siftwell/{uuid.uuid4().hex}"
+    found = build.chat_texts(I.chat_lines(spark, sf), "latin")
+    label = (F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % 2).cast("int").alias("label")
+    return build.build_dataset(found.select(F.lit("sms").alias("dataset"), label, "text"), folder).select("dataset", "label", "text")
+
+
 # cleaning
 
 
