@@ -56,7 +56,9 @@ def model_predictions(
 ) -> tuple[DataFrame, list[tuple[str, int, float]]]:
     """(msg_id, model, fold, label, predicted) and fit times. Per fold the vocabulary and class words come from the
     training rows, and all models share one kept table of vectors. annotations: see annotation_features."""
-    folded = cut_lineage(add_folds(once_per_class(messages), k, "text", fraction=fraction))
+    # messages with annotations may differ in these alone
+    rows = once_per_class(messages) if annotations is None else messages
+    folded = cut_lineage(add_folds(rows, k, "text", fraction=fraction))
     if annotations is not None:
         folded = annotate(folded, annotations)
     out, timings = None, []
@@ -111,6 +113,7 @@ def run_grid(messages: DataFrame, runs: Sequence[Run], **vector_options: object)
             start = time.time()
             noted = None
             if run.morphological:
+                rows = once_per_class(rows)
                 if run.tags or run.trees:
                     noted = annotation_features(rows, run.tags, run.trees)
                 rows = rows.withColumn("text", plain_from_tagged(F.col("text")))

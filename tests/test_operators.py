@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,19 @@ def test_hot_join_equals_plain_join(spark):
         assert got.select("id", "k").exceptAll(want.select("id", "k")).isEmpty() and got.count() == want.count()
 
 
+def test_a_strip_keeps_k_rows():
+    rng = np.random.default_rng(1)
+    best, all_rows = None, []
+    for start in range(0, 90, 30):
+        ids, labels, dist2 = np.arange(start, start + 30), np.zeros(30, np.int64), rng.integers(0, 9, (4, 30)).astype(float)
+        best = neighbours._best(best, ids, labels, dist2, 12)
+        assert best[0].shape == (4, 12)
+        all_rows.append(dist2)
+    whole = np.concatenate(all_rows, axis=1)
+    for row, ids in zip(whole, best[1], strict=True):
+        assert ids.tolist() == [i for _, i in sorted(zip(row, range(90), strict=True))[:12]]
+
+
 def test_lookup(spark):
     left = spark.range(1000).withColumn("g", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 7))
     right = spark.range(7).select(F.col("id").alias("g"), (F.col("id") * 10).alias("v"))
@@ -181,11 +195,12 @@ def test_neighbours_equal_brute_force(frame, sparse):
     if sparse:
         keep = F.filter(F.transform("vec", lambda v, i: F.struct(i.cast("bigint").alias("i"), v.alias("v"))), lambda s: s["v"] != 0)
         df = df.select("id", "label", keep.alias("s")).select("id", "label", F.col("s.i").alias("idx"), F.col("s.v").alias("val"))
-    found = neighbours.nearest(df.where("id < 60"), df.where("id >= 60").drop("label"), 7, block_rows=16)
-    got = defaultdict(dict)
-    for r in found.collect():
-        got[r.test_id][r.rank] = r.train_id
-    assert got == {i: {k + 1: d[k][1] for k in range(7)} for i, d in dist.items()}
+    for n, strip_k in ((7, 1), (7, 16), (40, 1)):  # one k is larger than a block
+        found = neighbours.nearest(df.where("id < 60"), df.where("id >= 60").drop("label"), n, block_rows=16, strip_k=strip_k)
+        got = defaultdict(dict)
+        for r in found.collect():
+            got[r.test_id][r.rank] = r.train_id
+        assert got == {i: {k + 1: d[k][1] for k in range(n)} for i, d in dist.items()}
 
 
 def test_vote_ties_go_to_the_lower_label(frame):

@@ -120,6 +120,7 @@ def test_tag_and_tree_features_decide(spark):
     # the words are the same in both classes, only tags and heads differ
     spam = (F.col("id") % 2 == 1).cast("int")
     text = F.when(spam == 1, "one~NN~0~r two~JJ~1~a").otherwise("one~NN~2~s two~VB~0~r")
+    text = F.concat(text, F.lit(" n"), F.floor(F.col("id") / 2).cast("string"), F.lit("~CD~1~n"))
     rows = spark.range(40).select(F.col("id").alias("msg_id"), F.lit("d").alias("dataset"), spam.alias("label"), text.alias("text"))
     rejected = rows.limit(1).withColumn("msg_id", F.lit(99).cast("bigint")).withColumn("text", F.lit(" ul "))
     runs = [train_eval.Run(model=0, k=1, morphological=True, tags=True, trees=True)]
