@@ -7,7 +7,7 @@ by the mark around it and by its block, a tag by how seldom it stands inside the
 are scored by blocks alone. What is never main text (NOISE_TAGS, NOISE_WORDS in class, id or role) is left out before
 the scan and never printed, wherever it stands.
 
-The weights are fitted on at most max_labelled marked pages, chosen by hash; every page is then scored whole.
+The weights are fitted on about max_labelled marked pages (all if there are fewer), chosen by hash; every page is then scored whole.
 
 Defined results: null, empty or wordless html gives empty text. Broken markup (open or stray tags, a page that ends in a
 comment or script) is read as browsers do it: an end tag closes what is open inside it. Of two regions with the same
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import slices, table
 
-MAX_LABELLED = 2000  # labelled pages that the weights are fitted on
+MAX_LABELLED = 2000  # labelled pages, about, that the weights are fitted on
 # HTML's own element kinds and the names that mark what is no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
@@ -194,9 +194,13 @@ def main_text(html: str | None, weights: Weights) -> str:
 
 
 def fit_weights(pages: DataFrame, html: str = "html", max_labelled: int = MAX_LABELLED) -> Weights:
-    """Counts over labelled pages, added up by Spark; the table of sums has a row per tag name."""
-    rows = pages.select(F.col(html).alias("_html")).where(F.col("_html").rlike(r"(?i)<(article|main)[\s>]|role=.?main|articleBody"))
-    chosen = rows.orderBy(F.xxhash64("_html")).limit(max_labelled)
+    """Counts over labelled pages, added up by Spark; the table of sums has a row per tag name. Chosen are the pages whose
+    hash lies in that part of all hashes which should hold max_labelled of them, so pages are counted and filtered where
+    they lie."""
+    rows = pages.select(F.col(html).alias("_html"), F.xxhash64("page_id", "url", html).alias("_hash"))
+    rows = rows.where(F.col("_html").rlike(r"(?i)<(article|main)[\s>]|role=.?main|articleBody"))
+    share = min(1.0, max_labelled / max(rows.count(), 1))
+    chosen = rows.where(F.col("_hash") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).select("_html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
