@@ -19,6 +19,7 @@ from siftwell.llm.rules import op7_rules
 from siftwell.llm.secrets import ORACLE as SECRETS_SQL
 from siftwell.llm.secrets import op10_secrets
 from siftwell.llm.sharding import op8_sharding
+from siftwell.llm.substring_dedup import ORACLE as REPEATS_SQL
 from siftwell.llm.substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,7 +34,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op3_near_dup": NEAR_DUP_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op7_rules": RULES_SQL, "op10_secrets": SECRETS_SQL}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": REPEATS_SQL,
+    "op3_near_dup": NEAR_DUP_SQL,
+    "op6_decontamination": DECONTAMINATION_SQL,
+    "op7_rules": RULES_SQL,
+    "op10_secrets": SECRETS_SQL,
+}
 
 ORACLES["op9_chat"] = r"""
 WITH added AS (

@@ -312,3 +312,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("_cut_sha", "_sha").alias("kept_sha256"),
     )
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM d, unnest(range(1, len(w) - 33)) u(i)),
+repeated AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM repeated),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS t
+  FROM (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
+"""
