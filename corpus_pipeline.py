@@ -20,7 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = docs.select("doc_id", "lang", "text", F.xxhash64(*key).alias("_row"), F.hash(*key).alias("_row2"), F.struct("*").alias("_doc"))
     scored = quality.score(rows, quality.trusted_ids(table(spark, sf_dir, "labels")), keep=("doc_id", "_row", "_row2"))
     rejected = cut_lineage(scored.where(~F.col("kept")).select("_row", "_row2").distinct())
-    return rows.join(rejected, ["_row", "_row2"], "left_anti").select("_doc.*")
+    few = rejected.count() <= quality.MAX_BROADCAST  # then texts stay where they are; else both sides are dealt by hash
+    return rows.join(F.broadcast(rejected) if few else rejected, ["_row", "_row2"], "left_anti").select("_doc.*")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
