@@ -12,7 +12,10 @@ A document's perplexity is 2 ** (bits per symbol). Its score is the bits per sym
 the language's trusted mean were added, so that few symbols weigh little. The threshold of a language is a quantile of the
 scores of its trusted documents, plus a margin; documents above it are rejected.
 
-Defined results: null or empty text has no symbols, perplexity null, and is kept, as is any document of a language
+A second model, of words, finds toxic documents (word_model.py): one whose worst stretch is above the TOXIC_QUANTILE of
+the language's trusted documents is toxic. kept is the verdict on quality alone; the pipeline drops either.
+
+Defined results: a toxic label outweighs trust. null or empty text has no symbols, perplexity null, and is kept, as is any document of a language
 without trusted text (threshold null). A null language is a language of its own. Repeated rows give equal rows. Ids of
 trusted documents are looked up by equality, so a null id is never trusted. Without labels all documents are kept."""
 
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell.llm import word_model
 from siftwell.llm.common import slices, table
 from siftwell.operators.skew import hot_join
 from siftwell.session import cut_lineage
@@ -37,7 +41,9 @@ BLOCK_BYTES = 4 << 20
 PRIOR_SYMBOLS = 40
 QUANTILE = 0.995
 MARGIN_BITS = 0.5
+TOXIC_QUANTILE = 0.99  # of the worst stretches of trusted documents
 MAX_BROADCAST = 1_000_000  # trusted ids that are broadcast; beyond, they are joined by shuffle
+WORDS = "#"  # in the place of a language: keys of the word model
 STEPS = 1000  # scores are ranked in steps of 1/STEPS bit
 
 
@@ -149,10 +155,10 @@ def window_bits(counts: DataFrame) -> DataFrame:
     return joined.select("lang", "gram", (-F.log2(p3)).alias("bits"))
 
 
-def document_bits(docs: DataFrame, bits: DataFrame, blocks: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, _lang, n_symbols, bits (sum; null where the language has no model) of documents (keep columns, lang,
-    _text)."""
-    dealt = docs.select(F.pmod(F.xxhash64(keep[0], "_text"), F.lit(blocks)).cast("int").alias("block"), *keep, "lang", "_text")
+def document_bits(docs: DataFrame, bits: DataFrame, words: DataFrame, blocks: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep columns, _lang, _trusted, n_symbols, bits (sum; null where the language has no model), worst and word_bits (see
+    word_model) of documents (keep columns, lang, _text, trusted, toxic)."""
+    dealt = docs.select(F.pmod(F.xxhash64(keep[0], "_text"), F.lit(blocks)).cast("int").alias("block"), *keep, "lang", "_text", "trusted", "toxic")
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def ask(group: pa.Table) -> pa.Table:
@@ -164,13 +170,15 @@ def document_bits(docs: DataFrame, bits: DataFrame, blocks: int, keep: tuple[str
             grams = np.unique(windows(texts[_those(langs, lang)].tolist())[0])
             n = len(grams)
             parts.append(pa.table({"block": pa.array(np.full(n, block, np.int32)), "lang": pa.array([lang] * n, pa.string()), "gram": pa.array(grams)}))
+        keys = word_model.asked(texts.tolist(), langs)
+        parts.append(pa.table({"block": pa.array(np.full(len(keys), block, np.int32)), "lang": pa.array([WORDS] * len(keys), pa.string()), "gram": pa.array(keys)}))
         return pa.concat_tables(parts)
 
     def add_up(group: pa.Table, answers: pa.Table) -> pa.Table:
         langs = group.column("lang").to_pylist()
         texts = np.array(group.column("_text").to_pylist(), object)
         answered = answers.column("lang").to_pylist()
-        grams, values = answers.column("gram").to_numpy(), answers.column("bits").to_numpy()
+        grams, values = answers.column("gram").to_numpy(), answers.column("x0").to_numpy()
         totals, sizes = np.full(len(langs), np.nan), np.fromiter(map(len, texts), np.int64, len(texts))
         for lang in set(langs):
             mine, model = np.flatnonzero(_those(langs, lang)), np.flatnonzero(_those(answered, lang))
@@ -180,40 +188,61 @@ def document_bits(docs: DataFrame, bits: DataFrame, blocks: int, keep: tuple[str
                 sums = np.concatenate([[0.0], np.cumsum(values[order][np.searchsorted(grams[order], codes)])])
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 totals[mine] = sums[ends[1:]] - sums[ends[:-1]]
-        return pa.table({**{c: group.column(c) for c in keep}, "_lang": group.column("lang"), "n_symbols": pa.array(sizes), "bits": pa.array(totals, from_pandas=True)})
+        model = np.flatnonzero(_those(answered, WORDS))
+        model = model[np.argsort(grams[model])]
+        numbers = np.column_stack([answers.column(x).to_numpy()[model] for x in word_model.NUMBERS])
+        trusted, toxic = (group.column(c).to_numpy() for c in ("trusted", "toxic"))
+        worst, word_bits = word_model.word_scores(texts.tolist(), langs, trusted, toxic, grams[model], numbers)
+        found = {"n_symbols": pa.array(sizes), "bits": pa.array(totals, from_pandas=True), "worst": pa.array(worst, from_pandas=True)}
+        found["word_bits"] = pa.array(word_bits, from_pandas=True)
+        return pa.table({**{c: group.column(c) for c in keep}, "_lang": group.column("lang"), "_trusted": group.column("trusted"), **found})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, lang string, gram bigint")
-    answers = asked.join(bits, ["lang", "gram"]).select("block", "lang", "gram", "bits")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"{kinds}, _lang string, n_symbols bigint, bits double")
+    none = [F.lit(0.0).alias(x) for x in word_model.NUMBERS[1:]]
+    known = bits.select("lang", "gram", F.col("bits").alias("x0"), *none)
+    known = known.union(words.select(F.lit(WORDS).alias("lang"), F.col("key").alias("gram"), *word_model.NUMBERS))
+    answers = asked.join(known, ["lang", "gram"]).select("block", "lang", "gram", *word_model.NUMBERS)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"{kinds}, _lang string, _trusted boolean, n_symbols bigint, bits double, worst double, word_bits double")
+
+
+def _limits(scored: DataFrame, name: str, quantile: float, margin: float, limit: str) -> DataFrame:
+    """lang, limit: the quantile of the scores of the language's trusted documents, plus the margin."""
+    steps = scored.where(F.col("trusted") & F.col(name).isNotNull()).groupBy("lang", F.ceil(F.col(name) * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    running = steps.select(
+        "lang", "step",
+        F.sum("n").over(W.partitionBy("lang").orderBy("step")).alias("upto"), F.sum("n").over(W.partitionBy("lang")).alias("all"),
+    )  # at most some ten thousand steps a language
+    return running.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg((F.min("step") / STEPS + margin).alias(limit))
 
 
 def score(
     docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", quantile: float = QUANTILE,
     margin: float = MARGIN_BITS, max_broadcast: int = MAX_BROADCAST, keep: tuple[str, ...] = ("doc_id",),
+    toxic: DataFrame | None = None, toxic_quantile: float = TOXIC_QUANTILE,
 ) -> DataFrame:
-    """keep columns (doc_id first), lang, n_symbols, perplexity, score, threshold, kept: one row for each row of docs. trusted has doc_id."""
+    """keep columns (doc_id first), lang, n_symbols, perplexity, score, threshold, word_bits, worst, worst_limit, toxic, kept: one
+    row for each row of docs. trusted has doc_id, as has toxic; without toxic documents none is found toxic."""
     # a language is written with a sign before it, which leaves the empty string for null
     named = F.coalesce(F.concat(F.lit("="), docs[lang]), F.lit(""))
     rows = docs.select(*keep, named.alias("lang"), normal_text(docs[text]).alias("_text"))
-    ids = cut_lineage(trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True)))
+    toxic = trusted.limit(0) if toxic is None else toxic
+    labels = trusted.select("doc_id", F.lit(1).alias("t"), F.lit(0).alias("x")).union(toxic.select("doc_id", F.lit(0), F.lit(1)))
+    ids = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("t") > 0).alias("trusted"), (F.max("x") > 0).alias("toxic"))
+    ids = cut_lineage(ids.withColumn("trusted", F.expr("trusted AND NOT toxic")))
     known = F.broadcast(ids) if ids.count() <= max_broadcast else ids
-    flag = lambda df: df.join(known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    bits = cut_lineage(window_bits(window_counts(flag(rows))))
+    flagged = rows.join(known, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("trusted", "toxic")})
+    bits = cut_lineage(window_bits(window_counts(flagged)))
+    words = word_model.model(word_model.pair_counts(flagged))
     size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
-    found = cut_lineage(document_bits(rows, bits, size // BLOCK_BYTES + 1, keep))
-    flagged = cut_lineage(flag(found.withColumnRenamed("_lang", "lang")))
+    found = document_bits(flagged, bits, words, size // BLOCK_BYTES + 1, keep)
+    flagged = cut_lineage(found.withColumnsRenamed({"_lang": "lang", "_trusted": "trusted"}))
     means = flagged.where("trusted AND n_symbols > 0").groupBy("lang").agg((F.sum("bits") / F.sum("n_symbols")).alias("_mean"))
     sizes = flagged.groupBy("lang").agg(F.count("*").alias("_rows"))
     weighted = cut_lineage(sizes.join(means, "lang", "left"))
     shrunk = (F.col("bits") + PRIOR_SYMBOLS * F.col("_mean")) / (F.col("n_symbols") + PRIOR_SYMBOLS)
     scored = hot_join(flagged, weighted, ["lang"], "_rows", ["doc_id"]).withColumn("score", F.when(F.col("n_symbols") > 0, shrunk))
     scored = cut_lineage(scored.drop("_rows", "_mean"))
-    steps = scored.where("trusted AND score IS NOT NULL").groupBy("lang", F.ceil(F.col("score") * STEPS).alias("step")).agg(F.count("*").alias("n"))
-    running = steps.select(
-        "lang", "step",
-        F.sum("n").over(W.partitionBy("lang").orderBy("step")).alias("upto"), F.sum("n").over(W.partitionBy("lang")).alias("all"),
-    )  # at most some ten thousand steps a language
-    limits = running.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg((F.min("step") / STEPS + margin).alias("threshold"))
+    limits = _limits(scored, "score", quantile, margin, "threshold").join(_limits(scored, "worst", toxic_quantile, 0.0, "worst_limit"), "lang", "full")
     judged = hot_join(scored, cut_lineage(sizes.join(limits, "lang", "left")), ["lang"], "_rows", ["doc_id"])
     return judged.select(
         *keep,
@@ -222,6 +251,10 @@ def score(
         F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_symbols"))).alias("perplexity"),
         "score",
         "threshold",
+        "word_bits",
+        "worst",
+        "worst_limit",
+        F.coalesce(F.col("worst") > F.col("worst_limit"), F.lit(False)).alias("toxic"),
         F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"),
     )
 
@@ -230,6 +263,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND toxic = 0").select("doc_id")
 
 
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic = 1").select("doc_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexity and verdict of every document."""
-    return score(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    """Perplexity and verdicts of every document: kept (quality) and toxic."""
+    labels = table(spark, sf_dir, "labels")
+    return score(table(spark, sf_dir, "documents"), trusted_ids(labels), toxic=toxic_ids(labels))
