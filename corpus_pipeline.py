@@ -14,12 +14,13 @@ from siftwell.session import cut_lineage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it is trained on the trusted ones among them. Rows are told apart by two
+    """Documents that the quality classifier keeps and does not find toxic; it is trained on the labelled ones among them. Rows are told apart by two
     hashes of id, language and text; null ids and texts are kept like others."""
     key = [docs["doc_id"], docs["lang"], docs["text"]]
     rows = docs.select("doc_id", "lang", "text", F.xxhash64(*key).alias("_row"), F.hash(*key).alias("_row2"), F.struct("*").alias("_doc"))
-    scored = quality.score(rows, quality.trusted_ids(table(spark, sf_dir, "labels")), keep=("doc_id", "_row", "_row2"))
-    rejected = cut_lineage(scored.where(~F.col("kept")).select("_row", "_row2").distinct())
+    labels = table(spark, sf_dir, "labels")
+    scored = quality.score(rows, quality.trusted_ids(labels), keep=("doc_id", "_row", "_row2"), toxic=quality.toxic_ids(labels))
+    rejected = cut_lineage(scored.where("toxic OR NOT kept").select("_row", "_row2").distinct())
     few = rejected.count() <= quality.MAX_BROADCAST  # then texts stay where they are; else both sides are dealt by hash
     return rows.join(F.broadcast(rejected) if few else rejected, ["_row", "_row2"], "left_anti").select("_doc.*")
 

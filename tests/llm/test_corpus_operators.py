@@ -219,6 +219,53 @@ def test_junk_is_rejected(spark):
     assert judged[0, True] <= 0.05 * judged[0, False] and judged[1, False] <= 0.01 * judged[1, True]
 
 
+def test_toxic_documents_are_found(spark):
+    folder = "/root/testdata/sf0.01"
+    found = quality.op5_quality(spark, folder).withColumnRenamed("toxic", "found")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = Counter((r.toxic, r.found) for r in found.join(labels.where("quality = 1"), "doc_id").collect())
+    assert judged[1, True] >= 0.25 * judged[1, False] and judged[0, True] <= 0.03 * judged[0, False]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.quality_stage(spark, docs, folder).select("doc_id").collect()
+    assert not {r.doc_id for r in found.where("found").collect()} & {r.doc_id for r in kept}
+
+
+def test_word_scores_brute_force(spark):
+    """Every labelled document is scored by the counts of all others."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the cat", "a dog", "sat", "on", f"w{rng.randint(0, 9)}", "Fool!" if i % 3 == 0 else "it"]) for _ in range(rng.randint(3, 40))), "x") for i in range(30)]
+    good, bad = {i for i in range(24) if i % 3}, {i for i in range(24) if not i % 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = lambda some: spark.createDataFrame([(i,) for i in sorted(some)], "doc_id long")
+    found = {r.doc_id: r for r in quality.score(df, ids(good), toxic=ids(bad)).collect()}
+
+    def pairs(text):
+        w = ["", *(x.strip("!↺") for x in text.lower().split())]
+        return list(zip(w, w[1:], strict=False))
+
+    normal = {r.doc_id: r._text for r in df.select("doc_id", quality.normal_text(df.text).alias("_text")).collect()}
+    counts = lambda some: Counter(p for i in some for p in pairs(normal[i]))
+    discount = lambda c: max(0.1, n[1] / (n[1] + 2 * n[2])) if (n := Counter(c.values()))[1] + n[2] else 0.5
+    n, m = counts(good), counts(bad)
+    k, l = Counter(c for _, c in n), Counter(c for _, c in m)
+    d2, d1, dt = discount(n), discount(k), discount(l)
+    kinds, toxic_kinds = len(k), len(l)
+    for i, text in normal.items():
+        n, m = counts(good - {i}), counts(bad - {i})
+        k, l = Counter(c for _, c in n), Counter(c for _, c in m)
+        total, after = Counter(), Counter(b for b, _ in n)
+        for (b, _), x in n.items():
+            total[b] += x
+        best, run, bits = -math.inf, 0.0, []
+        for b, c in pairs(text):
+            p = (max(k[c] - d1, 0) + d1 * kinds / (kinds + 1)) / len(n)
+            p = (max(n[b, c] - d2, 0) + d2 * after[b] * p) / total[b] if total[b] else p
+            bits.append(-math.log2(p))
+            run = max(run, 0.0) + math.log2((max(l[c] - dt, 0) + dt * toxic_kinds * p) / len(m) / p)
+            best = max(best, run)
+        assert abs(found[i].worst - best + 2 * math.log2(len(bits))) < 1e-6 and abs(found[i].word_bits - sum(bits) / len(bits)) < 1e-6
+
+
 def test_pipeline_stages(spark, documents):
     """Every stage on its own input, next to what its operator must decide; extra columns pass through."""
     folder = "/root/testdata/sf0.001"
