@@ -38,6 +38,8 @@ SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 4, 40
 ASK_SHINGLES, MEMBER_SHINGLES = 100_000, 400_000  # of a block of a bucket, about
+ASK_NODES, MEMBER_NODES = 2_000, 4_000  # the same in nodes
+ASK_SLICE, MEMBER_SLICE = 500, 4_000  # of a tile, at most
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CACHE_WORDS = 500_000
 
@@ -203,58 +205,72 @@ def _enough(n: Column, rest: Column, other_n: Column, other_rest: Column, percen
 
 
 def _tile_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links between the rows of one tile that are asked (asks = 1) and the others, as a product of two 0/1 matrices."""
+    """Links between the rows of one tile that are asked (asks = 1) and the others, slice by slice."""
     asks = rows.column("asks").to_numpy() == 1
-    ids, n, rest, label = (rows.column(c).to_numpy() for c in ("id", "n", "rest", "label"))
     q, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-    if not len(q) or not len(y):
-        return []
-    least = np.minimum(rest[q][:, None], rest[y])
-    sums = n[q][:, None] + n[y]
-    open_pairs = (label[q][:, None] != label[y]) & ((100 + percent) * least >= percent * sums)
-    if not open_pairs.any():
-        return []
+    slices_of = lambda places, size: [places[i : i + size] for i in range(0, len(places), size)]
+    ids, n, rest, label = (rows.column(c).to_numpy() for c in ("id", "n", "rest", "label"))
     shingles = rows.column("shingles").combine_chunks()
     ends, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
-    flat, ends = flat[ends[0] : ends[-1]], ends - ends[0]
-    owner = np.repeat(np.arange(len(ids)), np.diff(ends))
-    names, place = np.unique(flat, return_inverse=True)
-    shared = np.zeros((2, len(names)), bool)
-    shared[asks[owner].astype(int), place] = True
-    column = np.cumsum(shared.all(0)) - 1  # shingles that both sides have
-    used = shared.all(0)[place]
-    at, column = np.flatnonzero(used), column[place[used]]
-    row = np.empty(len(ids), np.int64)
-    row[q], row[y] = np.arange(len(q)), np.arange(len(y))
+    found = []
+    for some in slices_of(q, ASK_SLICE):
+        for others in slices_of(y, MEMBER_SLICE):
+            found += _slice_links(some, others, ids, n, rest, label, ends, flat, percent)
+    return found
+
+
+def _slice_links(
+    q: np.ndarray, y: np.ndarray, ids: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.ndarray, ends: np.ndarray,
+    flat: np.ndarray, percent: int,
+) -> list[tuple[int, int]]:
+    """Links between the rows q and the rows y, as a product of two 0/1 matrices of those that can have any."""
+
+    def able(q: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least = np.minimum(rest[q][:, None], rest[y])
+        return (label[q][:, None] != label[y]) & ((100 + percent) * least >= percent * (n[q][:, None] + n[y]))
+
+    open_pairs = able(q, y)
+    q, y = q[open_pairs.any(1)], y[open_pairs.any(0)]
+    if not len(q):
+        return []
+    open_pairs = able(q, y)
+    lists = [[flat[ends[i] : ends[i + 1]] for i in side] for side in (q, y)]
+    held = [np.concatenate(x) for x in lists]
+    owner = [np.repeat(np.arange(len(x)), [len(one) for one in x]) for x in lists]
+    names = np.intersect1d(*held)  # shingles that both sides have
+    column = [np.searchsorted(names, x) for x in held]
+    used = [np.isin(x, names) for x in held]
     common = np.zeros((len(q), len(y)), np.float32)
-    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
-        mine = (column >= low) & (column < low + 4096)
+    for low in range(0, len(names), 4096):
         sides = []
-        for side, size in ((True, len(q)), (False, len(y))):
-            chosen = at[mine][asks[owner[at[mine]]] == side]
+        for size, own, place, both in zip((len(q), len(y)), owner, column, used, strict=True):
+            mine = both & (place >= low) & (place < low + 4096)
             matrix = np.zeros((size, 4096), np.float32)
-            matrix[row[owner[chosen]], column[mine][asks[owner[at[mine]]] == side] - low] = 1
+            matrix[own[mine], place[mine] - low] = 1
             sides.append(matrix)
         common += sides[0] @ sides[1].T
-    found = open_pairs & ((100 + percent) * common >= percent * sums)
-    return [(int(ids[q[i]]), int(ids[y[j]])) for i, j in zip(*np.nonzero(found), strict=True)]
+    links = open_pairs & ((100 + percent) * common >= percent * (n[q][:, None] + n[y]))
+    return [(int(ids[q[i]]), int(ids[y[j]])) for i, j in zip(*np.nonzero(links), strict=True)]
 
 
 def undecided_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of a bucket that are in different classes, from members (bucket, id, n, rest, label).
 
     Nodes outside their bucket's largest class are asked against all of the bucket, in tiles of bounded size: a bucket's
-    askers are cut into blocks of about ASK_SHINGLES shingles, its members into blocks of MEMBER_SHINGLES, and a task
-    compares blocks as matrices. Only links leave it."""
-    by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
+    askers are cut into blocks of about ASK_SHINGLES shingles and ASK_NODES nodes, its members into blocks of
+    MEMBER_SHINGLES and MEMBER_NODES, and a task compares slices of two blocks as matrices. Only links leave it. A node
+    that cannot reach the limit even with a partner as small as the bucket's smallest is not asked or matched."""
+    by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"), F.min("n").alias("_n"))
     top = F.max(F.struct("_m", "label", "_s")).alias("_top")
-    buckets = by_label.groupBy("bucket").agg(top, F.sum("_m").alias("_w"), F.sum("_s").alias("_all"), F.count("*").alias("_labels"))
-    blocks = lambda total, size: F.ceil(total / size).cast("int")
+    buckets = by_label.groupBy("bucket").agg(top, F.sum("_m").alias("_w"), F.sum("_s").alias("_all"), F.count("*").alias("_labels"), F.min("_n").alias("_least"))
+    blocks = lambda total, size, nodes, most: F.greatest(F.ceil(total / size), F.ceil(nodes / most)).cast("int")
     buckets = buckets.where("_labels > 1").select(
-        "bucket", "_w", F.col("_top.label").alias("_largest"),
-        blocks(F.col("_all") - F.col("_top._s"), ASK_SHINGLES).alias("_asked"), blocks(F.col("_all"), MEMBER_SHINGLES).alias("_held"),
+        "bucket", "_w", "_least", F.col("_top.label").alias("_largest"),
+        blocks(F.col("_all") - F.col("_top._s"), ASK_SHINGLES, F.col("_w") - F.col("_top._m"), ASK_NODES).alias("_asked"),
+        blocks(F.col("_all"), MEMBER_SHINGLES, F.col("_w"), MEMBER_NODES).alias("_held"),
     )
-    mixed = cut_lineage(hot_join(members, cut_lineage(buckets), ["bucket"], "_w", ["id"]))
+    mixed = hot_join(members, cut_lineage(buckets), ["bucket"], "_w", ["id"])
+    mixed = cut_lineage(mixed.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("_least"))))
 
     def side(rows: DataFrame, asks: int, own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
@@ -264,10 +280,11 @@ def undecided_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         return placed.select(tile, F.lit(asks).alias("asks"), "id", "n", "rest", "label")
 
     rows = cut_lineage(side(mixed.where("label <> _largest"), 1, "_asked", "_held").union(side(mixed, 0, "_held", "_asked")))
-    work = rows.agg(F.sum("n")).first()[0] or 0
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("*").alias("nodes")).first()
+    parts = max(size.shingles // (4 * MEMBER_SHINGLES), size.nodes // (4 * MEMBER_NODES)) + 1
     whole = cut_lineage(sets.join(_weighted(rows, ["id"]), "id").select("id", "shingles", "_w"))
     filled = hot_join(rows, whole, ["id"], "_w", ["tile"]).drop("_w")
-    dealt = filled.withColumn("_part", F.pmod(F.xxhash64("tile"), F.lit(work // (4 * MEMBER_SHINGLES) + 1)))
+    dealt = filled.withColumn("_part", F.pmod(F.xxhash64("tile"), F.lit(parts)))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("tile").combine_chunks()

@@ -3,9 +3,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwell.llm import near_dup, quality
@@ -219,6 +222,27 @@ def test_junk_is_rejected(spark):
     assert judged[0, True] <= 0.05 * judged[0, False] and judged[1, False] <= 0.01 * judged[1, True]
 
 
+def test_tiles_of_many_short_nodes():
+    """Memory of a tile doesn't follow askers x members, whether all its pairs are open or none."""
+    n = 9_000
+    for least in (3, 4):
+        shingles = [[1, 2, 3, 10 + i] if i % 1000 else [1, 2, 3, 4] for i in range(n)]
+        numbers = {"asks": [int(i < 3_000) for i in range(n)], "id": range(n), "n": [4] * n, "rest": [least] * n, "label": range(n)}
+        rows = pa.table({**{c: pa.array(x, pa.int64()) for c, x in numbers.items()}, "shingles": pa.array(shingles, pa.list_(pa.int64()))})
+        tracemalloc.start()
+        found = near_dup._tile_links(rows, 75)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sorted(found) == [(a, b) for a in range(0, 3_000, 1000) for b in range(3_000, n, 1000) if least == 4] and peak < 150e6
+
+
+def test_short_texts_of_one_template(spark):
+    """50,000 texts whose last word alone differs: they share buckets, and nothing links."""
+    df = spark.range(50_000).selectExpr("id AS doc_id", "concat('one two three four five six seven w', id) AS text")
+    found = near_dup.components(df).agg(F.count("*").alias("n"), F.countDistinct("component_id").alias("classes"), F.min("kept").alias("all")).first()
+    assert (found.n, found.classes, found["all"]) == (50_000, 50_000, True)
+
+
 def test_toxic_documents_are_found(spark):
     folder = "/root/testdata/sf0.01"
     found = quality.op5_quality(spark, folder).withColumnRenamed("toxic", "found")
