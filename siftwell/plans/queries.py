@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -357,8 +358,16 @@ def _folded(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.add_folds(I.labelled(spark, sf), 5)
 
 
-def _train_vocabulary(spark: SparkSession, sf: str, kinds: list[str]) -> DataFrame:
-    train = _folded(spark, sf).where("fold <> 0")
+FOLDS = 5
+
+
+def _all_folds(one: Callable[[SparkSession, str, int], DataFrame]) -> Query:
+    """Every fold against the other four."""
+    return lambda spark, sf: functools.reduce(DataFrame.unionByName, (one(spark, sf, fold) for fold in range(FOLDS)))
+
+
+def _train_vocabulary(spark: SparkSession, sf: str, kinds: list[str], fold: int = 0) -> DataFrame:
+    train = _folded(spark, sf).where(F.col("fold") != fold)
     return ngrams.fit_vocabulary(ngrams.explode_ngrams(train, kinds=kinds))
 
 
@@ -367,17 +376,35 @@ def train_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return _train_vocabulary(spark, sf, ["word", "letter"])
 
 
+def _token_presence(spark: SparkSession, sf: str, fold: int) -> DataFrame:
+    test = _folded(spark, sf).where(F.col("fold") == fold)
+    grams = ngrams.explode_ngrams(test, kinds=["word", "letter"], distinct=True)
+    return ngrams.match_terms(grams, _train_vocabulary(spark, sf, ["word", "letter"], fold)).drop("idx")
+
+
 @query
 def token_presence(spark: SparkSession, sf: str) -> DataFrame:
-    test = _folded(spark, sf).where("fold = 0")
-    grams = ngrams.explode_ngrams(test, kinds=["word", "letter"], distinct=True)
-    return ngrams.match_terms(grams, _train_vocabulary(spark, sf, ["word", "letter"])).drop("idx")
+    return _token_presence(spark, sf, 0)
+
+
+@query
+def token_presence_all_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_folds(_token_presence)(spark, sf)
+
+
+def _substring_presence(spark: SparkSession, sf: str, fold: int) -> DataFrame:
+    test = _folded(spark, sf).where(F.col("fold") == fold)
+    return ngrams.match_substrings(test, _train_vocabulary(spark, sf, ["word"], fold)).drop("idx", "kind")
 
 
 @query
 def substring_presence(spark: SparkSession, sf: str) -> DataFrame:
-    test = _folded(spark, sf).where("fold = 0")
-    return ngrams.match_substrings(test, _train_vocabulary(spark, sf, ["word"])).drop("idx", "kind")
+    return _substring_presence(spark, sf, 0)
+
+
+@query
+def substring_presence_all_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_folds(_substring_presence)(spark, sf)
 
 
 @query
@@ -568,18 +595,30 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _nearest(spark: SparkSession, sf: str, fold: int) -> DataFrame:
+    v = _vectors(spark, sf)
+    train, test = v.where(F.col("fold") != fold), v.where(F.col("fold") == fold)
+    return neighbours.nearest(train, test, neighbours.default_k(train.count()))
+
+
 @query
 def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf)
-    train, test = v.where("fold <> 0"), v.where("fold = 0")
-    return neighbours.nearest(train, test, neighbours.default_k(train.count())).select("test_id", "train_id", "rank")
+    return _nearest(spark, sf, 0).select("test_id", "train_id", "rank")
+
+
+@query
+def nearest_neighbours_all_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_folds(_nearest)(spark, sf).select("test_id", "train_id", "rank")
 
 
 @query
 def nearest_neighbour_votes(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf)
-    train, test = v.where("fold <> 0"), v.where("fold = 0")
-    return neighbours.vote(neighbours.nearest(train, test, neighbours.default_k(train.count())))
+    return neighbours.vote(_nearest(spark, sf, 0))
+
+
+@query
+def nearest_neighbour_votes_all_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.vote(_all_folds(_nearest)(spark, sf))
 
 
 def _word_rows(spark: SparkSession, sf: str) -> DataFrame:
