@@ -13,14 +13,18 @@ from siftwell.llm.decontaminate import op6_decontamination
 from siftwell.llm.html import op1_html
 from siftwell.llm.near_dup import ORACLE as NEAR_DUP_SQL
 from siftwell.llm.near_dup import op3_near_dup
+from siftwell.llm.prefix_trie import ORACLE as TRIE_SQL
+from siftwell.llm.prefix_trie import op12_prefix_trie
 from siftwell.llm.quality import op5_quality
 from siftwell.llm.rules import ORACLE as RULES_SQL
 from siftwell.llm.rules import op7_rules
 from siftwell.llm.secrets import ORACLE as SECRETS_SQL
 from siftwell.llm.secrets import op10_secrets
+from siftwell.llm.sentence_piece import op11_sentence_piece
 from siftwell.llm.sharding import op8_sharding
 from siftwell.llm.substring_dedup import ORACLE as REPEATS_SQL
 from siftwell.llm.substring_dedup import op2_substring_dedup
+from siftwell.llm.turn_repair import op13_turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
@@ -33,6 +37,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
+    "op11_sentence_piece": op11_sentence_piece,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_turn_repair": op13_turn_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": REPEATS_SQL,
@@ -40,6 +47,7 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": DECONTAMINATION_SQL,
     "op7_rules": RULES_SQL,
     "op10_secrets": SECRETS_SQL,
+    "op12_prefix_trie": TRIE_SQL,
 }
 
 ORACLES["op9_chat"] = r"""
