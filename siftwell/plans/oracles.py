@@ -656,31 +656,58 @@ oracle(
 )
 
 
+NUMBERS = f"""nu AS MATERIALIZED (SELECT msg_id, 'style:' || term AS term, value FROM ({STYLE_UNION}))"""
+LAB_STYLE = STYLE.replace("FROM cen)", "FROM (SELECT msg_id, label, replace(text, chr(10), ' ') AS text FROM lab))")
+
+
+def cuts_of(weighed: str) -> str:
+    """(term, cut, p0, p1) of every threshold of the numbers, from rows(msg_id, label, w)."""
+    return f"""SELECT term, (value + lead(value) OVER d) / 2 AS cut, sum(p0) OVER d AS p0, sum(p1) OVER d AS p1 FROM (
+    SELECT term, value, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS p0, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p1
+    FROM nu JOIN {weighed} USING (msg_id) GROUP BY term, value) WINDOW d AS (PARTITION BY term ORDER BY value DESC)"""
+
+
+oracle(
+    "boosting_cut_errors",
+    f"""SELECT term, round(cut, 9) AS cut, (e <= 0.5)::INT AS present, round(least(e, 1 - e), 6) AS error FROM (
+  SELECT term, cut, (p0 + t1 - p1) / t AS e FROM ({cuts_of("w1")}), (SELECT sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS t1, sum(w) AS t FROM w1)
+  WHERE cut IS NOT NULL)""",
+    LAB,
+    LAB_STYLE,
+    NUMBERS,
+    "w1 AS (SELECT msg_id, label, CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END::DOUBLE AS w FROM lab)",
+)
+
 
 def boosted(rounds: int) -> str:
-    """CTEs b1..bN: the best stump of each round, b0 being none."""
+    """CTEs b1..bN: the best stump of each round over terms and thresholds of numbers; s1..sN: what it says."""
     out = ["wt AS MATERIALIZED (SELECT DISTINCT msg_id, label, term FROM g)", "w1 AS (SELECT msg_id, label, 1.0::DOUBLE AS w FROM lab)"]
     for i in range(1, rounds + 1):
-        out.append(f"""e{i} AS (SELECT term, (sum(CASE WHEN wt.label = 0 THEN w ELSE 0 END) + any_value(t1)
-    - sum(CASE WHEN wt.label = 1 THEN w ELSE 0 END)) / any_value(t) AS e FROM wt JOIN w{i} USING (msg_id),
-    (SELECT sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS t1, sum(w) AS t FROM w{i}) GROUP BY term),
-b{i} AS MATERIALIZED (SELECT term, present, error, ln((1 - error) / error) AS alpha FROM (SELECT term, (e <= 0.5)::INT AS present,
-    round(least(e, 1 - e), 9) AS error FROM e{i}) ORDER BY error, term LIMIT 1),
-s{i} AS (SELECT l.msg_id, alpha, CASE WHEN h.msg_id IS NOT NULL THEN present ELSE 1 - present END AS said FROM lab l, b{i}
-    LEFT JOIN (SELECT msg_id, term FROM wt) h ON h.msg_id = l.msg_id AND h.term = b{i}.term),
+        out.append(f"""q{i} AS (SELECT term, NULL::DOUBLE AS cut, sum(CASE WHEN wt.label = 0 THEN w ELSE 0 END) AS p0,
+    sum(CASE WHEN wt.label = 1 THEN w ELSE 0 END) AS p1 FROM wt JOIN w{i} USING (msg_id) GROUP BY term
+    UNION ALL SELECT * FROM ({cuts_of(f"w{i}")}) WHERE cut IS NOT NULL),
+e{i} AS (SELECT term, cut, (p0 + t1 - p1) / t AS e FROM q{i},
+    (SELECT sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS t1, sum(w) AS t FROM w{i})),
+b{i} AS MATERIALIZED (SELECT term, cut, present, error, ln((1 - error) / error) AS alpha FROM (SELECT term, cut, (e <= 0.5)::INT AS present,
+    round(least(e, 1 - e), 9) AS error FROM e{i}) ORDER BY error, term, cut NULLS FIRST LIMIT 1),
+s{i} AS (SELECT l.msg_id, alpha, CASE WHEN h.value > coalesce(cut, 0) THEN present ELSE 1 - present END AS said FROM lab l, b{i}
+    LEFT JOIN (SELECT msg_id, term, 1.0 AS value FROM wt UNION ALL FROM nu) h ON h.msg_id = l.msg_id AND h.term = b{i}.term),
 w{i + 1} AS MATERIALIZED (SELECT w.msg_id, w.label, w.w * CASE WHEN s.said <> w.label THEN exp(s.alpha) ELSE 1 END AS w
     FROM w{i} w JOIN s{i} s USING (msg_id))""")
     return ",\n".join(out)
 
 
+BOOSTING_ROUNDS = 50
 oracle(
     "boosting_predictions",
     f"""SELECT msg_id, round(sum(CASE WHEN said = 1 THEN alpha ELSE -alpha END), 6) AS margin,
   (sum(CASE WHEN said = 1 THEN alpha ELSE -alpha END) > 0)::INT AS predicted
-  FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, 6))}) GROUP BY msg_id""",
+  FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, BOOSTING_ROUNDS + 1))}) GROUP BY msg_id""",
     LAB,
+    LAB_STYLE,
+    NUMBERS,
     word_grams("lab", "g", "msg_id, label", (1,)),
-    boosted(5),
+    boosted(BOOSTING_ROUNDS),
 )
 
 # evaluation

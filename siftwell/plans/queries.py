@@ -632,10 +632,24 @@ def boosting_stump_errors(spark: SparkSession, sf: str) -> DataFrame:
     return boosting.stump_errors(rows).withColumn("error", F.round("error", 6))
 
 
+def _numbered_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and all style numbers of the labelled messages."""
+    styled = S.add_style(_flat(I.labelled(spark, sf)), script="latin")
+    numbers = F.array(*[F.struct(F.lit(f"style:{c}").alias("term"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in S.STYLE_COLUMNS])
+    return _word_rows(spark, sf).join(styled.select("msg_id", numbers.alias("numbers")), "msg_id")
+
+
+@query
+def boosting_cut_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every threshold of every style number, with weights."""
+    rows = _numbered_rows(spark, sf).withColumn("w", F.when(F.col("label") == 1, 3.0).otherwise(1.0))
+    return boosting.cut_errors(rows).select("term", F.round("cut", 9).alias("cut"), "present", F.round("error", 6).alias("error"))
+
+
 @query
 def boosting_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _word_rows(spark, sf)
-    return boosting.predict(boosting.fit(rows, rounds=5), rows).withColumn("margin", F.round("margin", 6))
+    rows = _numbered_rows(spark, sf)
+    return boosting.predict(boosting.fit(rows), rows).withColumn("margin", F.round("margin", 6))
 
 
 def _model(spark: SparkSession, sf: str, name: str) -> DataFrame:

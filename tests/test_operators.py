@@ -222,9 +222,8 @@ def test_boosting_by_hand(frame):
     assert [(s.term, s.present, round(s.alpha, 6)) for s in stumps] == [("x", 1, round(math.log(3), 6))]
     assert {r.msg_id: r.predicted for r in boosting.predict(stumps, rows).collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
     # a term that tells the classes apart ends the search
-    terms = rows.select("msg_id", F.explode("terms").alias("term")).union(frame([(2, "z"), (3, "z")], "msg_id bigint, term string"))
-    stumps = boosting.fit(boosting.message_rows(terms, rows.drop("terms")), rounds=3)
-    assert [(s.term, s.present) for s in stumps] == [("z", 0)]
+    told = frame([(0, 1, ["x"]), (1, 1, ["x"]), (2, 0, ["x", "z"]), (3, 0, ["y", "z"])], schema)
+    assert [(s.term, s.present) for s in boosting.fit(told, rounds=3)] == [("z", 0)]
 
 
 def test_boosting_equals_a_loop(frame):
@@ -247,8 +246,43 @@ def test_boosting_equals_a_loop(frame):
     assert [(s.term, s.present, round(s.alpha, 6)) for s in stumps] == want
 
 
-def test_scalar_cuts(frame):
-    rows = [(i, "style", "n", float(i)) for i in range(8)]
-    df = frame(rows, "msg_id bigint, kind string, term string, value double").where("value <> 0")
-    terms = boosting.binary_terms(df, boosting.cut_grid(df, 2))
-    assert {r.msg_id for r in terms.where("term = 'style:n>4.0'").collect()} == {5, 6, 7}
+NUMBERED = "msg_id bigint, label int, terms array<string>, numbers array<struct<term: string, value: double>>"
+
+
+def test_a_stump_between_two_octiles(frame):
+    """One threshold of 999 tells the classes apart; equal values and rows without the number are no threshold."""
+    data = [(i, int(i > 437), ["t"], [("n", float(i)), ("same", 5.0)] + [("rare", 2.0)] * (i == 3)) for i in range(1000)]
+    stump, *others = boosting.fit(frame(data, NUMBERED), rounds=5)
+    assert (stump.term, stump.cut, stump.present, others) == ("n", 437.5, 1, [])
+    cuts = boosting.cut_errors(frame(data, NUMBERED).withColumn("w", F.lit(1.0))).collect()
+    assert sorted(r.cut for r in cuts if r.term == "n") == [i + 0.5 for i in range(999)]
+    assert [(r.term, r.cut) for r in cuts if r.term != "n"] == [("rare", 1.0)]
+
+
+def test_boosting_with_numbers_equals_a_loop(frame):
+    rng = random.Random(6)
+    data = []
+    for i in range(150):
+        numbers = [("a", rng.randint(0, 400) / 7), ("b", float(rng.randint(0, 3)))] + [("c", float(rng.randint(1, 4)))] * rng.randint(0, 1)
+        data.append((i, int(numbers[0][1] + 9 * numbers[1][1] + rng.random() * 25 > 45), rng.sample("xyz", rng.randint(0, 2)), numbers))
+    of = [dict(numbers) for *_, numbers in data]
+    questions = [(t, None, [t in terms for _, _, terms, _ in data]) for t in "xyz"]
+    for name in "abc":
+        values = sorted({v.get(name, 0.0) for v in of})
+        questions += [(name, (p + q) / 2, [v.get(name, 0.0) > (p + q) / 2 for v in of]) for p, q in zip(values, values[1:])]
+    weights, want = [1.0] * len(data), []
+    for _ in range(10):
+        best = []
+        for term, cut, yes in questions:
+            wrong = sum(w for w, (_, y, *_), a in zip(weights, data, yes, strict=True) if int(a) != y) / sum(weights)
+            best.append((round(min(wrong, 1 - wrong), 9), term, -1.0 if cut is None else cut, int(wrong <= 0.5), yes))
+        error, term, cut, present, yes = min(best, key=lambda x: x[:3])
+        alpha = math.log((1 - error) / error)
+        want.append((term, cut, present, round(alpha, 5)))
+        weights = [w * math.exp(alpha) if (present if a else 1 - present) != y else w for w, (_, y, *_), a in zip(weights, data, yes, strict=True)]
+    stumps = boosting.fit(frame(data, NUMBERED), rounds=10)
+    assert [(s.term, -1.0 if s.cut is None else s.cut, s.present, round(s.alpha, 5)) for s in stumps] == want
+    margin = {r.msg_id: r.margin for r in boosting.predict(stumps, frame(data, NUMBERED)).collect()}
+    for i, row in enumerate(data):
+        said = [s.present if (s.term in row[2] if s.cut is None else of[i].get(s.term, 0.0) > s.cut) else 1 - s.present for s in stumps]
+        assert round(margin[i], 6) == round(sum(s.alpha if x else -s.alpha for s, x in zip(stumps, said, strict=True)), 6)
