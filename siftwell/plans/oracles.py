@@ -633,17 +633,19 @@ oracle(
     bayes("ho"),
 )
 NEAR = f"""em AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, {fold("vec_id")} AS fold FROM embeddings),
-k AS (SELECT 3 * floor(sqrt(count(*)))::INT AS k FROM em WHERE fold <> 0),
-nn AS (SELECT a.id AS test_id, b.id AS train_id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY
+k AS (SELECT a.fold, 3 * floor(sqrt(count(*)))::INT AS k FROM (SELECT DISTINCT fold FROM em) a JOIN em b ON a.fold <> b.fold GROUP BY a.fold),
+nn AS (SELECT a.id AS test_id, a.fold, b.id AS train_id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY
   round(greatest(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), 0), 9), b.id)
-  AS rank FROM em a, em b WHERE a.fold = 0 AND b.fold <> 0 QUALIFY rank <= (SELECT k FROM k))"""
-oracle("nearest_neighbours", "SELECT test_id, train_id, rank::INT AS rank FROM nn", NEAR)
-oracle(
-    "nearest_neighbour_votes",
-    """SELECT test_id, label AS predicted FROM (SELECT test_id, label, count(*) AS n FROM nn GROUP BY test_id, label)
+  AS rank FROM em a JOIN em b ON a.fold <> b.fold WHERE a.fold IN (:folds) QUALIFY rank <= (SELECT k FROM k WHERE k.fold = a.fold))"""
+for name, folds in (("", "0"), ("_all_folds", "0, 1, 2, 3, 4")):
+    near = NEAR.replace(":folds", folds)
+    oracle(f"nearest_neighbours{name}", "SELECT test_id, train_id, rank::INT AS rank FROM nn", near)
+    oracle(
+        f"nearest_neighbour_votes{name}",
+        """SELECT test_id, label AS predicted FROM (SELECT test_id, label, count(*) AS n FROM nn GROUP BY test_id, label)
   QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY n DESC, label) = 1""",
-    NEAR,
-)
+        near,
+    )
 oracle(
     "boosting_stump_errors",
     """SELECT term, (e <= 0.5)::INT AS present, round(least(e, 1 - e), 6) AS error FROM (

@@ -595,10 +595,10 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _nearest(spark: SparkSession, sf: str, fold: int) -> DataFrame:
+def _nearest(spark: SparkSession, sf: str, fold: int | None = None) -> DataFrame:
+    """One fold against the other four, or every row against the rows of the other folds."""
     v = _vectors(spark, sf)
-    train, test = v.where(F.col("fold") != fold), v.where(F.col("fold") == fold)
-    return neighbours.nearest(train, test, neighbours.default_k(train.count()))
+    return neighbours.nearest(v, v if fold is None else v.where(F.col("fold") == fold), apart="fold")
 
 
 @query
@@ -608,7 +608,7 @@ def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def nearest_neighbours_all_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_folds(_nearest)(spark, sf).select("test_id", "train_id", "rank")
+    return _nearest(spark, sf).select("test_id", "train_id", "rank")
 
 
 @query
@@ -618,7 +618,7 @@ def nearest_neighbour_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def nearest_neighbour_votes_all_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.vote(_all_folds(_nearest)(spark, sf))
+    return neighbours.vote(_nearest(spark, sf))
 
 
 def _word_rows(spark: SparkSession, sf: str) -> DataFrame:

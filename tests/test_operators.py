@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,19 +60,6 @@ def test_hot_join_equals_plain_join(spark):
         assert got.select("id", "k").exceptAll(want.select("id", "k")).isEmpty() and got.count() == want.count()
 
 
-def test_a_strip_keeps_k_rows():
-    rng = np.random.default_rng(1)
-    best, all_rows = None, []
-    for start in range(0, 90, 30):
-        ids, labels, dist2 = np.arange(start, start + 30), np.zeros(30, np.int64), rng.integers(0, 9, (4, 30)).astype(float)
-        best = neighbours._best(best, ids, labels, dist2, 12)
-        assert best[0].shape == (4, 12)
-        all_rows.append(dist2)
-    whole = np.concatenate(all_rows, axis=1)
-    for row, ids in zip(whole, best[1], strict=True):
-        assert ids.tolist() == [i for _, i in sorted(zip(row, range(90), strict=True))[:12]]
-
-
 def test_lookup(spark):
     left = spark.range(1000).withColumn("g", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 7))
     right = spark.range(7).select(F.col("id").alias("g"), (F.col("id") * 10).alias("v"))
@@ -183,24 +169,53 @@ def test_trees_equal_a_walk(frame):
     assert got == want
 
 
-@pytest.mark.parametrize("sparse", [False, True])
-def test_neighbours_equal_brute_force(frame, sparse):
+def nearest_by_hand(points, tests, trains, n):
+    far = {i: sorted((sum((a - b) ** 2 for a, b in zip(points[i], points[j], strict=True)), j) for j in trains(i)) for i in tests}
+    return {i: {k + 1: d[k][1] for k in range(min(n, len(d)))} for i, d in far.items()}
+
+
+def nearest_found(found):
+    got = defaultdict(dict)
+    for r in found.collect():
+        got[r.test_id][r.rank] = r.train_id
+    return got
+
+
+def as_sparse(df, first):
+    """Places from first on as slots."""
+    keep = F.filter(F.transform("vec", lambda v, i: F.struct(i.cast("bigint").alias("i"), v.alias("v"))), lambda s: (s["v"] != 0) & (s["i"] >= first))
+    dense = [F.slice("vec", 1, first).alias("vec")] if first else []
+    return df.withColumn("s", keep).select(*(c for c in df.columns if c != "vec"), *dense, F.col("s.i").alias("idx"), F.col("s.v").alias("val"))
+
+
+@pytest.mark.parametrize("dense_places", [6, 2, 0])  # all dense, both, all sparse
+def test_neighbours_equal_brute_force(frame, dense_places):
     rng = random.Random(5)
     points = [[float(rng.randint(0, 3)) for _ in range(6)] for _ in range(90)]
-    dist = {
-        i: sorted((sum((a - b) ** 2 for a, b in zip(points[i], points[j], strict=True)), j) for j in range(60)) for i in range(60, 90)
-    }
-    rows = [(i, i % 2, p) for i, p in enumerate(points)]
-    df = frame(rows, "id bigint, label int, vec array<double>")
-    if sparse:
-        keep = F.filter(F.transform("vec", lambda v, i: F.struct(i.cast("bigint").alias("i"), v.alias("v"))), lambda s: s["v"] != 0)
-        df = df.select("id", "label", keep.alias("s")).select("id", "label", F.col("s.i").alias("idx"), F.col("s.v").alias("val"))
-    for n, strip_k in ((7, 1), (7, 16), (40, 1)):  # one k is larger than a block
-        found = neighbours.nearest(df.where("id < 60"), df.where("id >= 60").drop("label"), n, block_rows=16, strip_k=strip_k)
-        got = defaultdict(dict)
-        for r in found.collect():
-            got[r.test_id][r.rank] = r.train_id
-        assert got == {i: {k + 1: d[k][1] for k in range(n)} for i, d in dist.items()}
+    df = frame([(i, i % 2, i % 3, p) for i, p in enumerate(points)], "id bigint, label int, fold int, vec array<double>")
+    df = as_sparse(df, dense_places) if dense_places < 6 else df
+    for n, pivots in ((7, 1), (7, 16), (40, 8), (100, 8)):  # one k is larger than the table
+        found = neighbours.nearest(df.where("id < 60"), df.where("id >= 60").drop("label"), n, block_rows=16, pivots=pivots)
+        assert nearest_found(found) == nearest_by_hand(points, range(60, 90), lambda i: range(60), n)
+    found = neighbours.nearest(df, df, apart="fold", block_rows=16)
+    assert nearest_found(found) == nearest_by_hand(points, range(90), lambda i: [j for j in range(90) if j % 3 != i % 3], 21)
+    assert neighbours.nearest(df.limit(0), df, 3).count() == neighbours.nearest(df, df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("first_slot", [8, 1])
+def test_far_rows_are_not_looked_at(frame, first_slot):
+    """Forty clusters, one with a third of all rows: exact, and most pairs are never compared."""
+    rng = random.Random(7)
+    centres = [[rng.random() * 100 for _ in range(8)] for _ in range(40)]
+    points = [[max(0.0, x + rng.gauss(0, 0.5)) for x in centres[0 if i % 3 == 0 else rng.randrange(40)]] for i in range(900)]
+    df = frame([(i, i % 2, p) for i, p in enumerate(points)], "id bigint, label int, vec array<double>")
+    df = as_sparse(df, first_slot) if first_slot < 8 else df
+    train, test = df.where("id >= 300"), df.where("id < 300")
+    found = neighbours.nearest(train, test, 5, block_rows=64)
+    assert nearest_found(found) == nearest_by_hand(points, range(300), lambda i: range(300, 900), 5)
+    assert found.count() == 1500  # k rows per test row leave the search
+    share = neighbours.share_looked_at(found, 600).first()
+    assert (share.pairs, share.looked) == (180000, share.share * 180000) and share.share < 0.3
 
 
 def test_vote_ties_go_to_the_lower_label(frame):
