@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import patterns as P
 from siftwell.functions.text import words
-from siftwell.operators.skew import dense_index, hot_join, top_n_per_group
+from siftwell.operators.skew import dense_index, hot_join, lookup, top_n_per_group
 from siftwell.session import cut_lineage
 
-KEY = 64  # words up to so many letters are compared by equality, longer ones are verified
+FIRST, WINDOW = 4, 32  # letters of the shortest key, and of a word that is read on at every letter
 
 
 def normalise_markers(text: Column) -> Column:
@@ -73,38 +73,97 @@ def fit_vocabulary(grams: DataFrame, min_count: int = 1, top: int | None = None)
     return cut_lineage(dense_index(counts, ["kind", "term"]))
 
 
+def fold_vocabulary(grams: DataFrame) -> DataFrame:
+    """vocab(kind, term, n, folds) of all folds at once, without an index: n counts rows, folds has bit i set if fold i
+    has the term. fold is 0..61."""
+    seen = F.expr("bit_or(shiftleft(1L, fold))")
+    return cut_lineage(grams.groupBy("kind", "term").agg(F.count("*").alias("n"), seen.alias("folds")))
+
+
+def known_to_others(folds: Column, fold: Column) -> Column:
+    """Whether a term is in the vocabulary that a fold is asked with, which is that of the other folds' rows."""
+    own = F.call_function("shiftleft", F.lit(1).cast("bigint"), fold)
+    return folds.bitwiseAND(F.bitwise_not(own)) != 0
+
+
 def match_terms(grams: DataFrame, vocab: DataFrame, id_cols: Sequence[str] = ("msg_id",)) -> DataFrame:
-    """Presence by whole n-gram: grams must be distinct per message. features(msg_id, kind, term, idx, value)."""
+    """Presence by whole n-gram: grams must be distinct per message. id_cols, kind, term, the vocabulary's other columns
+    (idx, folds), value."""
     hits = hot_join(grams.select(*id_cols, "kind", "term"), vocab, ["kind", "term"], "n", id_cols)
-    return hits.select(*id_cols, "kind", "term", "idx", F.lit(1.0).alias("value"))
+    return hits.drop("n").withColumn("value", F.lit(1.0))
+
+
+def words_inside(runs: DataFrame, words_: DataFrame) -> DataFrame:
+    """(run, word, begins, ends): the words of a list that lie inside each of some different words, and whether one does so
+    at the beginning and at the end. Exact for words of any length.
+
+    The list is a trie, kept as a table of heads: the first 4, 8, 16, ... letters of longer words, with the lengths
+    of the words up to the next head and whether there are longer ones. A letter of a run reads on to the next head
+    only while what it has read is a head; on the way it looks up the lengths that exist there."""
+    listed = cut_lineage(words_.select("word", F.length("word").alias("_len")))
+    longest = listed.agg(F.max("_len")).first()[0] or 0
+    read = F.regexp_extract_all(F.col("run"), F.lit(f"(?s){P.WHOLE_LETTER}(?=(.{{1,{WINDOW}}}))"), 1)
+    places = runs.select("run", F.posexplode(read).alias("_at", "_read"))
+    key = ["run", "_at"]
+
+    def look_up(asked: DataFrame, least: int, most: int) -> DataFrame:
+        words_here = listed.where(F.col("_len").between(least, most)).drop("_len")
+        said = asked.select(*key, F.substring(F.col("_read"), F.lit(1), F.col("_n")).alias("word"))
+        return lookup(said, words_here, ["word"]).select(
+            "run", "word", (F.col("_at") == 0).alias("begins"), (F.col("_at") + F.length("word") == F.length("run")).alias("ends")
+        )
+
+    lengths = F.sequence(F.lit(1), F.least(F.lit(FIRST), F.length("_read")))
+    hits = look_up(places.select(*key, "_read", F.explode(lengths).alias("_n")), 1, FIRST)
+    here = FIRST
+    while longest > here:
+        then = 2 * here
+        heads = listed.where(F.col("_len") > here).groupBy(F.substring("word", 1, here).alias("_head")).agg(
+            F.collect_set(F.when(F.col("_len") <= then, F.col("_len"))).alias("_lengths"), (F.max("_len") > then).alias("_longer")
+        )
+        reading = places.where(F.length("_read") > here).withColumn("_head", F.substring("_read", 1, here))
+        open_ = cut_lineage(lookup(reading, heads, ["_head"]).drop("_head"))
+        asked = open_.select(*key, "_read", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.length("_read"))
+        hits = hits.unionByName(look_up(asked, here + 1, then))
+        places = open_.where(F.col("_longer") & (F.length("_read") >= then)).select(*key, "_read")
+        if then >= WINDOW:  # few are left: they read on in their run
+            places = places.select(*key, F.substring(F.col("run"), F.col("_at") + 1, F.lit(2 * then)).alias("_read"))
+        here = then
+    return cut_lineage(hits.groupBy("run", "word").agg(F.max("begins").alias("begins"), F.max("ends").alias("ends")))
 
 
 def match_substrings(
     df: DataFrame, vocab: DataFrame, text: str = "text", id_cols: Sequence[str] = ("msg_id",)
 ) -> DataFrame:
-    """Presence by substring of the message, for blank-joined terms of up to three words: exact, without comparing
-    messages to terms pair by pair.
-
-    At every letter the text is read on to the end of the third word, and every prefix of that span is looked up by
-    equality. Only terms with a word of more than KEY letters are looked up by their first KEY letters and verified."""
+    """Presence by substring of the message, for blank-joined terms: exact, without comparing messages to terms pair by
+    pair. id_cols, the vocabulary's columns but n, value.
+
+    A term of one word lies inside a word of the text. The first word of a longer term ends a word of the text, the last
+    one begins one, those between are whole, and single blanks are between them. So the different words of all texts are
+    matched with the terms' words once (words_inside); from that follow the terms of every different run of two or three
+    words, and from those the messages that have it. Tables of different words are written before they are joined: the
+    planner broadcasts the small ones, and beyond that AQE splits what is hot."""
     ids = list(id_cols)
-    span = rf"{P.WHOLE_LETTER}(?=({P.CHAR}{{1,{KEY}}}(?: {P.CHAR}{{1,{KEY}}}){{0,2}}))"
-    spans = df.select(*ids, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(span), 1))).alias("_s"))
-    is_long = F.col("term").rlike(f"[^ ]{{{KEY + 1},}}")
-
-    cuts = F.sequence(F.lit(1), F.length("_s"))
-    prefixes = spans.select(*ids, "_s", F.explode(cuts).alias("_len")).select(
-        *ids, F.substring(F.col("_s"), F.lit(1), F.col("_len")).alias("term")
-    )
-    short = hot_join(prefixes.where(~F.col("term").endswith(" ")), vocab.where(~is_long), ["term"], "n", ids)
-
-    keyed = vocab.where(is_long).withColumn("_key", F.substring("term", 1, KEY))
-    keyed = keyed.join(keyed.groupBy("_key").agg(F.sum("n").alias("_w")), "_key")
-    wide = spans.where(F.length("_s") >= KEY).select(*ids, F.substring("_s", 1, KEY).alias("_key")).distinct()
-    long = (
-        hot_join(wide, keyed, ["_key"], "_w", ids, many=True)
-        .join(df.select(*ids, text), ids)
-        .where(F.col(text).contains(F.col("term")))
-    )
-    cols = [*ids, "kind", "term", "idx"]
-    return short.select(*cols).unionByName(long.select(*cols)).distinct().withColumn("value", F.lit(1.0))
+    terms = vocab.drop("n").withColumn("_parts", F.split("term", " "))
+    one = words(F.col(text))
+    said = df.select(*ids, F.explode(F.array_distinct(one)).alias("run"))
+    inside = words_inside(said.select("run").distinct(), terms.select(F.explode("_parts").alias("word")).distinct())
+    single = terms.where(F.size("_parts") == 1).drop("_parts")
+    hits = lookup(said, inside.select("run", F.col("word").alias("term")).join(single, "term"), ["run"]).drop("run")
+    for n in [r.n for r in terms.select(F.size("_parts").alias("n")).distinct().where("n > 1").collect()]:  # a few sizes
+        gram = " ".join([f"{P.CHAR}+"] * n)
+        grams = F.regexp_extract_all(F.col(text), F.lit(f"(?<!{P.CHAR})(?=({gram}))"), 1)
+        said = cut_lineage(df.select(*ids, F.explode(F.array_distinct(grams)).alias("gram")))
+        of_size = terms.where(F.size("_parts") == n)
+        parts = F.split("gram", " ")
+        rows = said.select("gram").distinct().select("gram", *(parts[i].alias(f"_{i}") for i in range(n)))
+        for i in range(1, n - 1):
+            rows = rows.join(of_size.select(F.col("_parts")[i].alias(f"_{i}")).distinct(), f"_{i}", "left_semi")
+        for i, side in ((0, "ends"), (n - 1, "begins")):
+            asked = of_size.select(F.col("_parts")[i].alias("word")).distinct()
+            part = inside.where(side).join(asked, "word", "left_semi").select(F.col("run").alias(f"_{i}"), F.col("word").alias(f"_part{i}"))
+            rows = lookup(rows, part, [f"_{i}"])
+        term = F.concat_ws(" ", "_part0", *(F.col(f"_{i}") for i in range(1, n - 1)), f"_part{n - 1}")
+        found = rows.select("gram", term.alias("term")).join(of_size.drop("_parts"), "term")
+        hits = hits.unionByName(lookup(said, found, ["gram"]).drop("gram"))
+    return hits.distinct().withColumn("value", F.lit(1.0))

@@ -400,6 +400,30 @@ oracle(
 )
 
 
+FOLDED = f"fo AS (SELECT *, {fold('msg_id')} AS fold FROM lab)"
+FOLD_VOCAB = """fv AS MATERIALIZED (SELECT kind, term, count(*) AS n, bit_or(1::BIGINT << fold) AS folds FROM
+  (SELECT kind, term, fold FROM fw UNION ALL SELECT kind, term, fold FROM fl) GROUP BY kind, term)"""
+ALL_GRAMS = (word_grams("fo", "fw", "msg_id, fold"), letter_grams("fo", "fl", "msg_id, fold"))
+oracle("fold_vocabularies", "SELECT kind, term, n, folds FROM fv", LAB, FOLDED, *ALL_GRAMS, FOLD_VOCAB)
+oracle(
+    "token_presence_all_folds",
+    """SELECT msg_id, g.kind, g.term, 1.0::DOUBLE AS value FROM (SELECT msg_id, fold, kind, term FROM fw UNION
+  SELECT msg_id, fold, kind, term FROM fl) g JOIN fv ON g.kind = fv.kind AND g.term = fv.term WHERE folds & ~(1::BIGINT << fold) <> 0""",
+    LAB,
+    FOLDED,
+    *ALL_GRAMS,
+    FOLD_VOCAB,
+)
+oracle(
+    "substring_presence_all_folds",
+    """SELECT fo.msg_id, v.term, 1.0::DOUBLE AS value FROM fo, (SELECT term, bit_or(1::BIGINT << fold) AS folds FROM fw GROUP BY term) v
+  WHERE folds & ~(1::BIGINT << fold) <> 0 AND contains(fo.text, v.term)""",
+    LAB,
+    FOLDED,
+    word_grams("fo", "fw", "msg_id, fold"),
+)
+
+
 def class_words(src: str, name: str) -> str:
     flat = "replace(text, chr(10), ' ')"
     return f"""{name}_t AS (SELECT label, unnest({words(script_only(flat))}) AS word FROM {src}),
@@ -838,9 +862,10 @@ def model_oracle(name: str, sql: str, *ctes: str) -> None:
         f"""fl AS ({PER_CLASS.format("(SELECT msg_id, label, replace(text, chr(10), ' ') AS text FROM lab)")}),
 fo AS (SELECT *, {fold("text")} AS fold FROM fl), tr AS (SELECT * FROM fo WHERE fold <> :fold), te AS (SELECT * FROM fo WHERE fold = :fold)""",
         STYLE.replace("FROM cen)", "FROM fl)"),
-        word_grams("fl", "g", "msg_id", (1,)),
+        word_grams("fl", "gw", "msg_id"),
+        letter_grams("fl", "gl", "msg_id"),
         class_words("tr", "cw"),
-        f"""ff AS MATERIALIZED (SELECT DISTINCT msg_id, 'word:' || term AS f, 1.0::DOUBLE AS v FROM g
+        f"""ff AS MATERIALIZED (SELECT DISTINCT msg_id, kind || ':' || term AS f, 1.0::DOUBLE AS v FROM (FROM gw UNION ALL FROM gl)
   UNION ALL SELECT msg_id, 'style:' || term, value FROM ({STYLE_UNION})
   UNION ALL SELECT msg_id, 'class:' || cw.label, count(*) FROM (SELECT msg_id, unnest({words(script_only("text"))}) AS word FROM fl) t
     JOIN cw ON t.word = cw.word GROUP BY msg_id, cw.label)""",
@@ -858,8 +883,8 @@ model_oracle(
     any_value(ln((d1 + 1) / (d0 + d1 + 2))) + sum(v * ln((coalesce(n1, 0) + 1) / (t1 + width + {N_SCALARS}))) AS s1
   FROM te JOIN ff ON ff.msg_id = te.msg_id LEFT JOIN nt ON nt.f = ff.f,
     (SELECT count(*) FILTER (label = 0) AS d0, count(*) FILTER (label = 1) AS d1 FROM tr),
-    (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) FILTER (f LIKE 'word:%') AS width FROM nt)
-  WHERE ff.f NOT LIKE 'word:%' OR nt.f IS NOT NULL GROUP BY te.msg_id, te.label)""",
+    (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) FILTER (f LIKE 'word:%' OR f LIKE 'letter:%') AS width FROM nt)
+  WHERE (ff.f NOT LIKE 'word:%' AND ff.f NOT LIKE 'letter:%') OR nt.f IS NOT NULL GROUP BY te.msg_id, te.label)""",
     """nt AS MATERIALIZED (SELECT f, sum(CASE WHEN label = 0 THEN v ELSE 0 END) AS n0, sum(CASE WHEN label = 1 THEN v ELSE 0 END) AS n1
   FROM ff JOIN tr ON ff.msg_id = tr.msg_id GROUP BY f)""",
 )

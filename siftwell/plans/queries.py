@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Callable
 
@@ -358,16 +357,8 @@ def _folded(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.add_folds(I.labelled(spark, sf), 5)
 
 
-FOLDS = 5
-
-
-def _all_folds(one: Callable[[SparkSession, str, int], DataFrame]) -> Query:
-    """Every fold against the other four."""
-    return lambda spark, sf: functools.reduce(DataFrame.unionByName, (one(spark, sf, fold) for fold in range(FOLDS)))
-
-
-def _train_vocabulary(spark: SparkSession, sf: str, kinds: list[str], fold: int = 0) -> DataFrame:
-    train = _folded(spark, sf).where(F.col("fold") != fold)
+def _train_vocabulary(spark: SparkSession, sf: str, kinds: list[str]) -> DataFrame:
+    train = _folded(spark, sf).where("fold <> 0")
     return ngrams.fit_vocabulary(ngrams.explode_ngrams(train, kinds=kinds))
 
 
@@ -376,35 +367,46 @@ def train_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return _train_vocabulary(spark, sf, ["word", "letter"])
 
 
-def _token_presence(spark: SparkSession, sf: str, fold: int) -> DataFrame:
-    test = _folded(spark, sf).where(F.col("fold") == fold)
-    grams = ngrams.explode_ngrams(test, kinds=["word", "letter"], distinct=True)
-    return ngrams.match_terms(grams, _train_vocabulary(spark, sf, ["word", "letter"], fold)).drop("idx")
+@query
+def fold_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabularies of all folds as one table."""
+    grams = ngrams.explode_ngrams(_folded(spark, sf), keep=["msg_id", "fold"])
+    return ngrams.fold_vocabulary(grams)
+
+
+def _train_terms(spark: SparkSession, sf: str, kinds: list[str]) -> DataFrame:
+    train = _folded(spark, sf).where("fold <> 0")
+    return ngrams.fold_vocabulary(ngrams.explode_ngrams(train, kinds=kinds, keep=["msg_id", "fold"]))
 
 
 @query
 def token_presence(spark: SparkSession, sf: str) -> DataFrame:
-    return _token_presence(spark, sf, 0)
+    test = _folded(spark, sf).where("fold = 0")
+    grams = ngrams.explode_ngrams(test, kinds=["word", "letter"], distinct=True)
+    return ngrams.match_terms(grams, _train_terms(spark, sf, ["word", "letter"])).drop("folds")
 
 
 @query
 def token_presence_all_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_folds(_token_presence)(spark, sf)
-
-
-def _substring_presence(spark: SparkSession, sf: str, fold: int) -> DataFrame:
-    test = _folded(spark, sf).where(F.col("fold") == fold)
-    return ngrams.match_substrings(test, _train_vocabulary(spark, sf, ["word"], fold)).drop("idx", "kind")
+    """Every message against the vocabulary of the other folds, in one plan."""
+    grams = ngrams.explode_ngrams(_folded(spark, sf), keep=["msg_id", "fold"], distinct=True)
+    found = ngrams.match_terms(grams, ngrams.fold_vocabulary(grams), ["msg_id", "fold"])
+    return found.where(ngrams.known_to_others(F.col("folds"), F.col("fold"))).drop("folds", "fold")
 
 
 @query
 def substring_presence(spark: SparkSession, sf: str) -> DataFrame:
-    return _substring_presence(spark, sf, 0)
+    test = _folded(spark, sf).where("fold = 0")
+    return ngrams.match_substrings(test, _train_terms(spark, sf, ["word"])).drop("folds", "kind")
 
 
 @query
 def substring_presence_all_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_folds(_substring_presence)(spark, sf)
+    """Every message against the vocabulary of the other folds, in one plan."""
+    folded = _folded(spark, sf)
+    grams = ngrams.explode_ngrams(folded, kinds=["word"], keep=["msg_id", "fold"])
+    found = ngrams.match_substrings(folded, ngrams.fold_vocabulary(grams), id_cols=["msg_id", "fold"])
+    return found.where(ngrams.known_to_others(F.col("folds"), F.col("fold"))).select("msg_id", "term", "value")
 
 
 @query
@@ -653,9 +655,8 @@ def boosting_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    out, _ = train_eval.model_predictions(
-        _flat(I.labelled(spark, sf)), 5, [name], script="latin", sizes=[1], kinds=["word"], rounds=10, max_iter=100
-    )
+    """Five folds on all n-gram sizes, with the library's own settings."""
+    out, _ = train_eval.model_predictions(_flat(I.labelled(spark, sf)), 5, [name], script="latin")
     return out
 
 

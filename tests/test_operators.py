@@ -101,7 +101,7 @@ def test_substring_match_equals_brute_force(frame):
     train = df.where("msg_id < 30")
     vocab = ngrams.fit_vocabulary(ngrams.explode_ngrams(train, kinds=["word"])).persist()
     terms = [r.term for r in vocab.collect()]
-    assert max(map(len, terms)) > 3 * ngrams.KEY
+    assert max(map(len, terms)) > 3 * ngrams.WINDOW
     got = {(r.msg_id, r.term) for r in ngrams.match_substrings(df, vocab).collect()}
     assert got == {(i, t) for i, text in texts for t in terms if t in text}
     grams = ngrams.explode_ngrams(df, kinds=["word"], distinct=True)

@@ -26,13 +26,5 @@ def test_query(spark, duck, name):
         assert differences(spark, duck, FOLDER, name, queries()[name], sql) is None
 
 
-@pytest.mark.parametrize("name", ["token_presence", "substring_presence", "nearest_neighbours", "nearest_neighbour_votes"])
-def test_all_folds(spark, duck, name):
-    """Every row is asked: the SQL of the first fold, for each of them."""
-    one = oracle_sql()[name]
-    sql = " UNION ALL ".join(f"(FROM ({one.replace('fold = 0', f'fold = {i}').replace('fold <> 0', f'fold <> {i}')}))" for i in range(5))
-    assert differences(spark, duck, FOLDER, name, queries()[f"{name}_all_folds"], sql) is None
-
-
 def test_entry(spark):
     assert entry(spark).count() == 3
