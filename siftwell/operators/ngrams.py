@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import patterns as P
 from siftwell.functions.text import words
-from siftwell.operators.skew import dense_index, hot_join, lookup, top_n_per_group
+from siftwell.operators.skew import dense_index, first_n_per_group, hot_join, lookup, sortable
 from siftwell.session import cut_lineage
 
 FIRST, WINDOW = 4, 32  # letters of the shortest key, and of a word that is read on at every letter
@@ -69,7 +69,7 @@ def fit_vocabulary(grams: DataFrame, min_count: int = 1, top: int | None = None)
     if min_count > 1:
         counts = counts.where(F.col("n") >= min_count)
     if top is not None:
-        counts = top_n_per_group(counts, ["kind"], [F.desc("n"), F.col("term")], top, ["term"]).drop("rank_in_group")
+        counts = first_n_per_group(counts, ["kind"], F.concat(sortable(-F.col("n")), "term"), top)
     return cut_lineage(dense_index(counts, ["kind", "term"]))
 
 

@@ -48,23 +48,60 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inn
     return left.join(cut_lineage(right), list(on), how)
 
 
-def top_n_per_group(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, salt_by: Sequence[str], salts: int | None = None
-) -> DataFrame:
-    """First n rows of every group as row_number gives them, in column rank_in_group. Each group is first cut into
-    salts, as many as there are shuffle partitions; the last step sees at most salts * n rows of a group."""
+def sortable(column: Column) -> Column:
+    """Whole numbers as strings of one length that sort as the numbers do."""
+    return F.lpad((column.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+
+
+def _common_prefix(a: str, b: str, done: Column) -> Column:
+    """Length of the common beginning of two strings that share their first `done` letters."""
+    most = F.least(F.length(a), F.length(b))
+    first_other = F.array_min(F.filter(F.sequence(F.lit(1), most), lambda i: F.substring(F.col(a), F.lit(1), i) != F.substring(F.col(b), F.lit(1), i)))
+    return F.greatest(F.when(most == 0, 0).otherwise(F.coalesce(first_other - 1, most)), done)
+
+
+def last_of_first_n(df: DataFrame, groups: Sequence[str], key: Column, n: int, width: int = 2, small: int = 4096) -> DataFrame:
+    """groups, _last: the n-th smallest key of every group, or its greatest if it has fewer rows. Keys are strings, unique
+    in a group.
+
+    Histograms of the key's beginning find the bucket that the n-th key lies in; a bucket of more than small rows is refined
+    by the next letters that differ. So rows are only counted where they lie, and no task sees more than the buckets of
+    a group or small rows of it. A group needs as many rounds as its keys have differing parts before the n-th is told
+    from its neighbours."""
     groups = list(groups)
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inner = W.partitionBy(*groups, "_salt").orderBy(*order)
-    outer = W.partitionBy(*groups).orderBy(*order)
-    return (
-        df.withColumn("_salt", _salt(salt_by, salts))
-        .withColumn("_r", F.row_number().over(inner))
-        .where(F.col("_r") <= n)
-        .drop("_salt", "_r")
-        .withColumn("rank_in_group", F.row_number().over(outer))
-        .where(F.col("rank_in_group") <= n)
-    )
+    rows = cut_lineage(df.select(*groups, key.alias("_key")))
+    inside = {"_prefix": F.lit(""), "_want": F.lit(n).cast("bigint")}
+    open_ = rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.min("_key").alias("_least"), F.max("_key").alias("_most"))
+    sized = cut_lineage(open_.withColumns(inside))
+    found = sized.where(F.col("_n") <= F.col("_want")).select(*groups, F.col("_most").alias("_last"))
+    open_ = sized.where(F.col("_n") > F.col("_want"))
+    by_bucket = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+    while not open_.isEmpty():
+        cut = (_common_prefix("_least", "_most", F.length("_prefix")) + width).alias("_cut")
+        seen = rows.join(open_.select(*groups, "_prefix", "_want", cut), groups).where(F.col("_key").startswith(F.col("_prefix")))
+        buckets = seen.groupBy(*groups, "_want", F.substring(F.col("_key"), F.lit(1), F.col("_cut")).alias("_bucket")).agg(
+            F.count("*").alias("_n"), F.min("_key").alias("_least"), F.max("_key").alias("_most")
+        )
+        upto = buckets.withColumn("_upto", F.sum("_n").over(by_bucket))
+        at = cut_lineage(
+            upto.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+            .withColumn("_want", F.col("_want") - F.col("_upto") + F.col("_n")).drop("_upto").withColumnRenamed("_bucket", "_prefix")
+        )
+        ends = at.where(F.col("_n") == F.col("_want")).select(*groups, F.col("_most").alias("_last"))
+        # keys that are all the same can't be told apart
+        last = (F.col("_n") <= small) | (F.col("_least") == F.col("_most"))
+        few = rows.join(at.where(last & (F.col("_n") > F.col("_want"))).select(*groups, "_prefix", "_want"), groups)
+        ranked = few.where(F.col("_key").startswith(F.col("_prefix"))).withColumn("_r", F.row_number().over(W.partitionBy(*groups).orderBy("_key")))
+        found = found.unionByName(ends).unionByName(ranked.where(F.col("_r") == F.col("_want")).select(*groups, F.col("_key").alias("_last")))
+        open_ = at.where(~last & (F.col("_n") > F.col("_want")))
+    return found
+
+
+def first_n_per_group(df: DataFrame, groups: Sequence[str], key: Column, n: int) -> DataFrame:
+    """Rows with the n smallest keys of every group, filtered where they lie. Keys are strings, unique in a group; groups
+    are not null."""
+    last = last_of_first_n(df, groups, key, n)
+    return lookup(df, last, groups).where(key <= F.col("_last")).drop("_last")
 
 
 def dense_index(df: DataFrame, key: Sequence[str], name: str = "idx", hex_digits: int = 3) -> DataFrame:
