@@ -28,14 +28,19 @@ from siftwell.llm.common import slices, table
 
 # Fixed value: how byte-level BPE parts a text before it merges.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000  # pre-tokens that one Python worker remembers
+SHIFT = 20  # ids are below 2 ** SHIFT
+CACHE_WORDS = 300_000  # pre-tokens, and stretches between blanks, that one Python worker remembers
+SPECIAL, BARE, FIRST = "\ud800", "\ud801", "\ud802"  # marks in front of a cached string; they cannot occur in a text
 
 
 @dataclass
 class Vocabulary:
     """Merges by pair of ids, ids of single bytes, bytes of ids, special tokens."""
 
-    merges: dict[tuple[int, int], tuple[int, int]]  # (left, right) -> (rank, merged id)
+    ranks: dict[int, int]  # left << SHIFT | right -> rank
+    pairs: list[tuple[int, int, int]]  # left, right and merged id of each rank
+    keys: np.ndarray  # the keys of ranks, sorted
+    key_ranks: np.ndarray  # their ranks
     byte_ids: list[int]
     token_bytes: dict[int, bytes]
     special: dict[str, int]
@@ -59,100 +64,137 @@ def load_vocabulary(path: str) -> Vocabulary:
     token_bytes = {i: bytes(byte_of[c] for c in token) for token, i in ids.items() if token not in special}
     token_bytes |= {i: token.encode() for token, i in special.items()}
     pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-    merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-    return Vocabulary(merges, [ids[letter] for letter in letters], token_bytes, special)
+    merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+    ranks = {left << SHIFT | right: rank for rank, (left, right, _) in enumerate(merges)}
+    keys = np.array(list(ranks), np.int64)
+    order = np.argsort(keys)
+    key_ranks = np.array(list(ranks.values()), np.int64)[order]
+    return Vocabulary(ranks, merges, keys[order], key_ranks, [ids[letter] for letter in letters], token_bytes, special)
 
 
 def merge_words(words: Sequence[bytes], vocabulary: Vocabulary) -> tuple[list[int], list[int]]:
     """Ids of all words, one after the other, and how many each word has."""
-    merges, byte_ids = vocabulary.merges, vocabulary.byte_ids
-    symbols: list[int] = []
-    starts: list[int] = []
-    for word in words:
-        starts.append(len(symbols))
-        symbols += [byte_ids[b] for b in word]
-        symbols.append(-1)  # no merge crosses it
+    if not words:
+        return [], []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    plain = np.array(vocabulary.byte_ids, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+    flat = np.insert(plain, np.cumsum(lengths), -1)  # no merge crosses a -1
+    keys = flat[:-1] << SHIFT | flat[1:]
+    at = np.minimum(np.searchsorted(vocabulary.keys, keys), len(vocabulary.keys) - 1)
+    here = np.flatnonzero((vocabulary.keys[at] == keys) & (flat[:-1] >= 0) & (flat[1:] >= 0))
+    rank_here = vocabulary.key_ranks[at[here]]
+    order = np.argsort(rank_here, kind="stable")
+    here, rank_here = here[order], rank_here[order]
+    first = np.flatnonzero(np.concatenate([[True], rank_here[1:] != rank_here[:-1]])) if len(here) else np.empty(0, np.int64)
+    cut = [*first.tolist(), len(here)]
+    positions = here.tolist()
+    active = rank_here[first].tolist()  # ascending, so it is a heap
+    # rank of a pair -> where its left symbol stands
+    places = {rank: positions[cut[i] : cut[i + 1]] for i, rank in enumerate(active)}
+    symbols = flat.tolist()
     after = list(range(1, len(symbols) + 1))
     before = list(range(-1, len(symbols) - 1))
-    places: dict[int, list[int]] = {}  # rank of a pair -> where its left symbol stands
-    for at in range(len(symbols) - 1):
-        if (merge := merges.get((symbols[at], symbols[at + 1]))) is not None:
-            places.setdefault(merge[0], []).append(at)
-    active = list(places)
-    heapq.heapify(active)
-    dead = -2
+    rank_of, pairs, dead = vocabulary.ranks.get, vocabulary.pairs, -2
     while active:
         rank = heapq.heappop(active)
-        for at in sorted(places.pop(rank)):
-            left, right_at = symbols[at], after[at]
-            if left < 0 or (merge := merges.get((left, symbols[right_at]))) is None or merge[0] != rank:
+        left, right, merged = pairs[rank]
+        for at_left in sorted(places.pop(rank)):
+            if symbols[at_left] != left or symbols[at_right := after[at_left]] != right:
                 continue  # an earlier merge has taken one of the two
-            symbols[at], symbols[right_at] = merge[1], dead
-            end = after[at] = after[right_at]
-            before[end] = at
-            for where in (before[at], at):
-                if where >= 0 and (pair := merges.get((symbols[where], symbols[after[where]]))) is not None:
-                    if pair[0] in places:
-                        places[pair[0]].append(where)
-                    else:
-                        places[pair[0]] = [where]
-                        heapq.heappush(active, pair[0])
-    flat, counts = [], []
-    for start in starts:
-        held, at = len(flat), start
-        while symbols[at] != -1:
-            flat.append(symbols[at])
-            at = after[at]
-        counts.append(len(flat) - held)
-    return flat, counts
+            symbols[at_left], symbols[at_right] = merged, dead
+            end = after[at_left] = after[at_right]
+            before[end] = at_left
+            beside = before[at_left]
+            if beside >= 0 and (new := rank_of(symbols[beside] << SHIFT | merged)) is not None:
+                if new in places:
+                    places[new].append(beside)
+                else:
+                    places[new] = [beside]
+                    heapq.heappush(active, new)
+            if (new := rank_of(merged << SHIFT | symbols[end])) is not None:
+                if new in places:
+                    places[new].append(at_left)
+                else:
+                    places[new] = [at_left]
+                    heapq.heappush(active, new)
+    done = np.array(symbols, np.int64)
+    upto = np.cumsum(done >= 0)[done == -1]
+    return done[done >= 0].tolist(), np.diff(upto, prepend=0).tolist()
 
 
 @dataclass
-class _Encoder:
-    """Pre-tokens met so far: number, ids."""
+class _Store:
+    """Strings met so far: number, ids."""
 
-    vocabulary: Vocabulary
     numbers: dict[str, int] = field(default_factory=dict)
     flat: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
-    def __post_init__(self) -> None:
+    def unknown(self, rows: list[list[str]]) -> list[str]:
+        return [w for w in dict.fromkeys(w for row in rows for w in row) if w not in self.numbers]
+
+    def add(self, new: list[str], flat: Sequence[int], counts: Sequence[int]) -> None:
+        known = len(self.numbers)
+        self.numbers.update((w, known + i) for i, w in enumerate(new))
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(counts, np.int64))])
+
+    def ids(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after the other, and where each row ends (with a leading 0)."""
+        number = self.numbers.__getitem__
+        words = np.fromiter((number(w) for row in rows for w in row), np.int64, sum(map(len, rows)))
+        first, sizes = self.ends[words], np.diff(self.ends)[words] if len(words) else np.empty(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        ids = self.flat[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)]
+
+
+class _Encoder:
+    """A blank begins a pre-token or ends white space, unless white space is on both sides of it. So texts are cut at
+    blanks, and only stretches that were not met before are parted into pre-tokens."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.words, self.stretches = _Store(), _Store()
         self.split = regex.compile(PRE_TOKENS).findall
-        special = sorted(self.vocabulary.special, key=len, reverse=True)
+        self.blank_amid_space = regex.compile(r"\s \s").search
+        special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def parts(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
-            return self.split(text)
-        found: list[str] = []
-        for number, part in enumerate(self.special.split(text)):
-            # a lone surrogate marks a special token; it cannot occur in a text
-            found += ["\ud800" + part] if number % 2 else self.split(part)
+        if self.special is not None and self.special.search(text):
+            found: list[str] = []
+            for number, part in enumerate(self.special.split(text)):
+                found += [SPECIAL + part] if number % 2 else [BARE + w for w in self.split(part)]
+            return found
+        if self.blank_amid_space(text):
+            return [BARE + w for w in self.split(text)]
+        found = text.split(" ")
+        found[0] = FIRST + found[0]
         return found
 
+    def words_of(self, stretch: str) -> list[str]:
+        mark = stretch[:1]
+        if mark == SPECIAL:
+            return [stretch]
+        if mark == BARE:
+            return [stretch[1:]]
+        return self.split(stretch[1:] if mark == FIRST else " " + stretch)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text ends (with a leading 0)."""
         rows = [self.parts(text) for text in texts]
-        if len(self.numbers) > CACHE_WORDS:
-            self.numbers, self.flat, self.ends = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
-        new = [w for w in dict.fromkeys(w for row in rows for w in row) if w not in self.numbers]
-        if new:
-            plain = [w for w in new if w[0] != "\ud800"]
-            flat, counts = merge_words([w.encode() for w in plain], self.vocabulary)
-            marked = [w for w in new if w[0] == "\ud800"]
-            flat += [self.vocabulary.special[w[1:]] for w in marked]
-            counts += [1] * len(marked)
-            known = len(self.numbers)
-            self.numbers.update((w, known + i) for i, w in enumerate(plain + marked))
-            self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        number = self.numbers.__getitem__
-        words = np.fromiter((number(w) for row in rows for w in row), np.int64, sum(map(len, rows)))
-        first, sizes = self.ends[words], np.diff(self.ends)[words] if len(words) else np.empty(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        ids = self.flat[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
-        row_ends = ends[np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)]
-        return ids, row_ends
+        self.words, self.stretches = (_Store() if len(s.numbers) > CACHE_WORDS else s for s in (self.words, self.stretches))
+        if new := self.stretches.unknown(rows):
+            parted = [self.words_of(stretch) for stretch in new]
+            if unknown := self.words.unknown(parted):
+                plain, marked = ([w for w in unknown if (w[0] == SPECIAL) == yes] for yes in (False, True))
+                flat, counts = merge_words([w.encode() for w in plain], self.vocabulary)
+                flat += [self.vocabulary.special[w[1:]] for w in marked]
+                self.words.add(plain + marked, flat, counts + [1] * len(marked))
+            ids, ends = self.words.ids(parted)
+            self.stretches.add(new, ids, np.diff(ends))
+        return self.stretches.ids(rows)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
