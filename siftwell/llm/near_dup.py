@@ -22,7 +22,7 @@ of it has one); kept is true where doc_id equals it, both null included. Empty t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import WORD, slices, table
-from siftwell.operators.skew import hot_join
+from siftwell.operators.skew import HOT, hot_join
 from siftwell.session import cut_lineage
 
 SHINGLE = 5
@@ -253,6 +253,28 @@ def _slice_links(
     return [(int(ids[q[i]]), int(ids[y[j]])) for i, j in zip(*np.nonzero(links), strict=True)]
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, salt_by: Sequence[str]) -> DataFrame:
+    """Inner join by one column to a written table, whose weight says how often a key occurs on the left. Keys with more
+    than 1/HOT of the rows, fewer than HOT therefore, are named in the plan: their rows are dealt out over 4, 16, 64, ...
+    salts, as many as they have HOT-ths of the rows, and the right rows are copied for each."""
+    (key,) = on
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    cuts: dict[int, list] = {}
+    for r in right.where(F.col(weight) * HOT > total).select(key, weight).distinct().collect():
+        n = 4
+        while n * total < r[weight] * HOT:
+            n *= 4
+        cuts.setdefault(n, []).append(r[key])
+    if not cuts:
+        return left.join(right, key)
+    salt, copies = F.lit(0).cast("bigint"), F.lit(1)
+    for n, keys in cuts.items():
+        salt = F.when(F.col(key).isin(keys), F.pmod(F.xxhash64(*salt_by), F.lit(n))).otherwise(salt)
+        copies = F.when(F.col(key).isin(keys), F.lit(n)).otherwise(copies)
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), copies.cast("bigint") - 1))
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", salts), [key, "_salt"]).drop("_salt")
+
+
 def undecided_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of a bucket that are in different classes, from members (bucket, id, n, rest, label).
 
@@ -269,7 +291,7 @@ def undecided_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         blocks(F.col("_all") - F.col("_top._s"), ASK_SHINGLES, F.col("_w") - F.col("_top._m"), ASK_NODES).alias("_asked"),
         blocks(F.col("_all"), MEMBER_SHINGLES, F.col("_w"), MEMBER_NODES).alias("_held"),
     )
-    mixed = hot_join(members, cut_lineage(buckets), ["bucket"], "_w", ["id"])
+    mixed = salted_join(members, cut_lineage(buckets), ["bucket"], "_w", ["id"])
     mixed = cut_lineage(mixed.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("_least"))))
 
     def side(rows: DataFrame, asks: int, own: str, other: str) -> DataFrame:
@@ -283,7 +305,7 @@ def undecided_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("*").alias("nodes")).first()
     parts = max(size.shingles // (4 * MEMBER_SHINGLES), size.nodes // (4 * MEMBER_NODES)) + 1
     whole = cut_lineage(sets.join(_weighted(rows, ["id"]), "id").select("id", "shingles", "_w"))
-    filled = hot_join(rows, whole, ["id"], "_w", ["tile"]).drop("_w")
+    filled = salted_join(rows, whole, ["id"], "_w", ["tile"]).drop("_w")
     dealt = filled.withColumn("_part", F.pmod(F.xxhash64("tile"), F.lit(parts)))
 
     def run(group: pa.Table) -> pa.Table:
@@ -305,7 +327,7 @@ def classes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("id"), "set", "copies", "_node.*"))
     named = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = cut_lineage(_weighted(named, ["bucket"]).where("_w > 1"))
-    members = cut_lineage(hot_join(named, shared, ["bucket"], "_w", ["id"]).drop("_w"))
+    members = cut_lineage(salted_join(named, shared, ["bucket"], "_w", ["id"]).drop("_w"))
     # whole sets of the nodes that share a bucket, from one document of each
     wanted = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "_row", F.col("set").alias("_set"))
     texts = rows.select("_row", "_text").join(wanted, "_row")
@@ -322,7 +344,7 @@ def classes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min(F.struct((1 - F.col("rest") / F.col("n")).alias("part"), "id", "n", "rest")).alias("_hub"), F.count("*").alias("_w")
     )
     hubs = cut_lineage(hubs.where("_w > 1").select("bucket", "_w", *(F.col(f"_hub.{c}").alias(f"_{c}") for c in ("id", "n", "rest"))))
-    near = hot_join(members, hubs, ["bucket"], "_w", ["id"]).where(F.col("id") != F.col("_id"))
+    near = salted_join(members, hubs, ["bucket"], "_w", ["id"]).where(F.col("id") != F.col("_id"))
     near = near.where(_enough(F.col("n"), F.col("rest"), F.col("_n"), F.col("_rest"), percent))
     pairs = cut_lineage(near.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct())
     links = cut_lineage(verified(pairs, sets, percent))
@@ -333,7 +355,7 @@ def classes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = merge(links.union(more))
     node_labels = cut_lineage(_labelled(nodes.select("id", "set", "copies"), labels).select("set", "label", "copies"))
     empty = signed.where("n = 0").select("doc_id", "_row", "n", "set", F.lit(None).cast("bigint").alias("label"))
-    labelled = hot_join(some.select("doc_id", "_row", "n", "set"), node_labels, ["set"], "copies", ["doc_id", "_row"])
+    labelled = salted_join(some.select("doc_id", "_row", "n", "set"), node_labels, ["set"], "copies", ["doc_id", "_row"])
     return labelled.select("doc_id", "_row", "n", "set", "label").union(empty)
 
 
@@ -352,7 +374,7 @@ def components(df: DataFrame, text: str = "text", percent: int = PERCENT) -> Dat
     """doc_id, n_shingles, component_id, kept: one row for each row of df."""
     found = cut_lineage(classes(document_rows(df, text), percent))
     smallest = found.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_w"))
-    linked = hot_join(found.where("label IS NOT NULL"), cut_lineage(smallest), ["label"], "_w", ["doc_id", "set"])
+    linked = salted_join(found.where("label IS NOT NULL"), cut_lineage(smallest), ["label"], "_w", ["doc_id", "set"])
     single = found.where("label IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n", "component_id").union(single).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
