@@ -26,7 +26,7 @@ def with_subject(subject: Column, body: Column) -> Column:
     return F.concat(subject, F.lit(f" {P.SUBJECT}{P.END}  "), body)
 
 
-def _per_word(text: Column, f: Callable[[Column], Column]) -> Column:
+def per_word(text: Column, f: Callable[[Column], Column]) -> Column:
     """Apply f to every word that is not a marker; gaps stay as they are."""
     pieces = F.regexp_extract_all(text, F.lit(f"({P.WORD}|{P.SPACE}+)"), 1)
     return F.array_join(F.transform(pieces, lambda w: F.when(w.endswith(P.END), w).otherwise(f(w))), "")
@@ -43,7 +43,7 @@ def _link_word(word: Column) -> Column:
 def mask_links(text: Column) -> Column:
     """A word with a scheme, a known host or a known ending becomes LINK<length>; the length counts from the scheme.
     An e-mail address of any domain is not a link."""
-    return _per_word(text, _link_word)
+    return per_word(text, _link_word)
 
 
 def phone_class(word: Column) -> Column:
@@ -70,7 +70,7 @@ def _phone_word(word: Column) -> Column:
 
 
 def mask_phones(text: Column) -> Column:
-    return _per_word(text, _phone_word)
+    return per_word(text, _phone_word)
 
 
 def mask_emails(text: Column) -> Column:
@@ -88,19 +88,23 @@ def mask_names(
     """A word whose core is a listed name, alone or behind the prefix, gets a name from the pool.
     The choice depends on the core and the seed, so a person keeps one new name. The list is a setting, not data."""
     listed = F.array(*[F.lit(n) for n in names])
-    choices = F.array(*[F.lit(n) for n in pool])
 
     def one(word: Column) -> Column:
         c = core(word)
         bare = F.when(F.array_contains(listed, c), c).otherwise(F.substring(c, len(prefix) + 1, 1 << 30))
-        pick = F.get(choices, (hash_number(F.concat(F.lit(f"{seed}|"), bare)) % len(pool)).cast("int"))
         return (
-            F.when(F.array_contains(listed, c), F.replace(word, c, pick))
-            .when(c.startswith(prefix) & F.array_contains(listed, bare), F.replace(word, bare, pick))
+            F.when(F.array_contains(listed, c), F.replace(word, c, new_name(c, pool, seed)))
+            .when(c.startswith(prefix) & F.array_contains(listed, bare), F.replace(word, bare, new_name(bare, pool, seed)))
             .otherwise(word)
         )
 
-    return _per_word(text, one) if names else text
+    return per_word(text, one) if names else text
+
+
+def new_name(name: Column, pool: Sequence[str], seed: int) -> Column:
+    """The name from the pool that stands for a name."""
+    choices = F.array(*[F.lit(n) for n in pool])
+    return F.get(choices, (hash_number(F.concat(F.lit(f"{seed}|"), name)) % len(pool)).cast("int"))
 
 
 def mask_emoji(text: Column, glyphs: str = P.EMOJI_GLYPHS) -> Column:

@@ -21,13 +21,14 @@ def reachable_nodes(tokens: DataFrame, tree: Sequence[str] = TREE) -> DataFrame:
     root; the others, their subtrees, cycles and children of missing words are left out.
 
     Pointers are doubled: after round r every open node points 2**r steps up, so the number of rounds is the logarithm
-    of the depth. Each round is checkpointed to the shared folder."""
+    of the depth. A round reads all nodes but writes open ones only, to the shared folder; nodes that have reached the
+    top are never written again."""
     keys = list(tree)
     is_top = F.col("head") == 0
     roots = tokens.where(is_top).groupBy(*keys).agg(F.max("tok_no").alias("tok_no")).withColumn("_alive", F.lit(True))
     tops = tokens.where(is_top).join(roots, [*keys, "tok_no"], "left")
     start = tops.unionByName(tokens.where(~is_top).withColumn("_alive", F.lit(None).cast("boolean")))
-    state = cut_lineage(
+    first = cut_lineage(
         start.select(
             *keys, "tok_no", "head", "rel",
             F.when(is_top, F.col("tok_no")).otherwise(F.col("head")).alias("_up"),
@@ -36,20 +37,23 @@ def reachable_nodes(tokens: DataFrame, tree: Sequence[str] = TREE) -> DataFrame:
             F.coalesce("_alive", F.lit(False)).alias("_alive"),
         )
     )
-    longest = state.agg(F.max("tok_no")).first()[0] or 1
+    closed, open_ = first.where("NOT _open"), first.where("_open")
+    longest = first.agg(F.max("tok_no")).first()[0] or 1
     for _ in range(math.ceil(math.log2(longest + 1)) + 1):
-        if not state.where("_open").limit(1).count():
+        if open_.isEmpty():
             break
-        target = state.select(
+        target = closed.unionByName(open_).select(
             *keys, F.col("tok_no").alias("_up"), F.col("_up").alias("_up2"), F.col("level").alias("_level2"),
             F.col("_open").alias("_open2"), F.col("_alive").alias("_alive2"),
         )
-        moved = state.where("_open").join(target, [*keys, "_up"]).select(
-            *keys, "tok_no", "head", "rel", F.col("_up2").alias("_up"), (F.col("level") + F.col("_level2")).alias("level"),
-            F.col("_open2").alias("_open"), F.col("_alive2").alias("_alive"),
+        moved = cut_lineage(
+            open_.join(target, [*keys, "_up"]).select(
+                *keys, "tok_no", "head", "rel", F.col("_up2").alias("_up"), (F.col("level") + F.col("_level2")).alias("level"),
+                F.col("_open2").alias("_open"), F.col("_alive2").alias("_alive"),
+            )
         )
-        state = cut_lineage(state.where("NOT _open").unionByName(moved))
-    return state.where("NOT _open AND _alive").drop("_up", "_open", "_alive")
+        closed, open_ = closed.unionByName(moved.where("NOT _open")), moved.where("_open")
+    return closed.where("_alive").drop("_up", "_open", "_alive")
 
 
 def tree_depths(nodes: DataFrame, id_col: str = "msg_id") -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import masks as M
 from siftwell.functions import text as T
 from siftwell.functions.style import STYLE_COLUMNS, add_style, gate_by_script
-from siftwell.operators.censor import censor, extract_variables, glyph_inventory
+from siftwell.operators.censor import censor, extract_variables, glyph_inventory, mask_listed_names
 
 CASES = {
     "see http://x.example/ab": "see  LINK19ENDVAR",
@@ -52,6 +52,20 @@ def test_names_are_replaced_alike(frame):
     assert out == ["שלום נעם, ונעם גילה", "נעם!"]
 
 
+def test_names_from_a_table(frame):
+    """Equal to the names as settings, also for repeated texts, nulls, markers, and names that are not in use."""
+    texts = ["שלום גיל, וגיל גילה", "גיל!", "גיל!", None, "", "nobody here", "ודן דן  ודן\nגיל", "LINK5ENDVAR דן"]
+    df = frame([(None if i == 1 else i, t, "k") for i, t in enumerate(texts)], "msg_id bigint, text string, _key string")
+    listed = ["גיל", "דן", "ודן"]
+    names = frame([(n,) for n in [*listed, None, "", "דן", *(f"שם{i}" for i in range(3000))]], "name string")
+    want = [r.text for r in df.select(M.mask_names(F.col("text"), listed, ["נעם", "טל"]).alias("text")).collect()]
+    got = mask_listed_names(df, names, ["נעם", "טל"]).select("text").collect()
+    assert sorted(map(str, want)) == sorted(str(r.text) for r in got) and "גיל!" not in want
+    both = [censor(df.drop("_key"), names=n, pool=["נעם"]).select("text").collect() for n in (names, listed)]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1]))
+    assert mask_listed_names(df.limit(0), names).count() == 0 and mask_listed_names(df, names.limit(0)).count() == len(texts)
+
+
 def test_scalars(frame):
     df = frame([("a ,  שלום!\tעולם ב",)], "text string")
     row = df.select(
