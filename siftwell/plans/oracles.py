@@ -778,6 +778,12 @@ oracle(
     LAB,
     RULES,
 )
+PER_CLASS_SCORES = """hits AS (SELECT model, c.class, count(*) FILTER (label = c.class AND predicted = c.class) AS hit,
+  count(*) FILTER (predicted = c.class) AS called, count(*) FILTER (label = c.class) AS support
+  FROM pd, (SELECT unnest([0, 1]) AS class) c GROUP BY model, c.class),
+pq AS (SELECT model, class::VARCHAR AS class, coalesce(hit / nullif(called, 0), 0) AS precision,
+  coalesce(hit / nullif(support, 0), 0) AS recall, support FROM hits),
+pc AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pq)"""
 oracle(
     "class_report",
     """SELECT model, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support
@@ -787,12 +793,7 @@ oracle(
   sum(f1 * support) / sum(support), sum(support) FROM pc GROUP BY model)""",
     LAB,
     RULES,
-    """hits AS (SELECT model, c.class, count(*) FILTER (label = c.class AND predicted = c.class) AS hit,
-  count(*) FILTER (predicted = c.class) AS called, count(*) FILTER (label = c.class) AS support
-  FROM pd, (SELECT unnest([0, 1]) AS class) c GROUP BY model, c.class),
-pq AS (SELECT model, class::VARCHAR AS class, coalesce(hit / nullif(called, 0), 0) AS precision,
-  coalesce(hit / nullif(support, 0), 0) AS recall, support FROM hits),
-pc AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pq)""",
+    PER_CLASS_SCORES,
 )
 
 
@@ -825,6 +826,38 @@ src AS (SELECT DISTINCT (conv_id % 2)::INT AS label, text FROM pt)""",
 oracle("spam_scores", FOLD_SUMMARY, LAB, censored("lab", glyphs=None), CENFOLD, bayes("cf"), SCORED)
 
 
+def sections(rows: str, model: str, item: str, **columns: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS section, {model} AS model, ({item})::VARCHAR AS item, round(({c})::DOUBLE, 4) AS value FROM {rows}"
+        for name, c in columns.items()
+    )
+
+
+oracle(
+    "run_report",
+    " UNION ALL ".join([
+        sections("base", "''", "''", baseline="b"),
+        sections("ac", "model", "fold", accuracy="a", margin="a - b"),
+        sections("cr", "model", "class", precision="precision", recall="recall", f1="f1", support="support"),
+        sections(f"({FOLD_SUMMARY})", "model", '"lambda"', **{c: c for c in ("f1_mean", "f1_low", "wacc_mean", "wacc_low", "tcr_mean", "tcr_low")}),
+        sections("(SELECT model, lm, count(*) FILTER (tcr > 1) AS n FROM sc GROUP BY model, lm)", "model", "lm", folds_above_one="n"),
+        sections("pd", "model", "msg_id || ' ' || predicted", error="1") + " WHERE label <> predicted",
+    ]),
+    LAB,
+    censored("lab", glyphs=None),
+    CENFOLD,
+    bayes("cf"),
+    SCORED,
+    "base AS (SELECT count(DISTINCT text) FILTER (label = 0) / count(DISTINCT text) AS b FROM cen)",
+    "ac AS (SELECT model, fold, avg((label = predicted)::INT) AS a, any_value(b) AS b FROM pd, base GROUP BY model, fold)",
+    PER_CLASS_SCORES,
+    """cr AS (SELECT model, class, precision, recall, f1, support FROM pc
+  UNION ALL SELECT model, 'macro', avg(precision), avg(recall), avg(f1), sum(support) FROM pc GROUP BY model
+  UNION ALL SELECT model, 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), sum(support) FROM pc GROUP BY model)""",
+)
+
+
 def grid_run(run_id: int, name: str, k: int, cap: int | None, union: bool) -> str:
     """Summary rows of one run and dataset, self-contained below the CTE `hv`."""
     rows = f"""SELECT msg_id, dataset, label, text FROM hv

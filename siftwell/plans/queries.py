@@ -761,6 +761,14 @@ def error_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.error_report(I.rule_predictions(spark, sf))
 
 
+@query
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All that a run of naive Bayes over five folds is judged by."""
+    censored = censor.censor(I.labelled(spark, sf))
+    out = train_eval.run_report(censored, train_eval.bayes_predictions(censored))
+    return out.withColumn("value", F.round("value", 4))
+
+
 @query
 def spam_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: raw labelled messages to the fold summary of naive Bayes."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators import bayes
+from siftwell.operators import bayes, evaluate
 from siftwell.operators.censor import censor
 from siftwell.operators.classwords import class_words
 from siftwell.operators.clean import drop_rejected
@@ -48,6 +49,34 @@ def spam_scores(messages: DataFrame, k: int = 5) -> DataFrame:
     return fold_summary(fold_scores(bayes_predictions(censor(messages), k)))
 
 
+def run_report(messages: DataFrame, predictions: DataFrame, convention: str = "paper") -> DataFrame:
+    """(section, model, item, value), all that a run is judged by: baseline accuracy of the messages, accuracy and margin
+    of every fold, the class report, summaries and the number of folds above one by lambda, and the list of errors (item:
+    message and wrong class). messages(label, text), predictions(msg_id, model, fold, label, predicted)."""
+    kept = cut_lineage(predictions)
+    scores = cut_lineage(evaluate.fold_scores(kept, convention=convention))
+    base = evaluate.baseline_accuracy(messages)
+    folds = evaluate.accuracy(kept, base.select("baseline").scalar())
+
+    def part(df: DataFrame, columns: dict[str, str], model: Column, item: Column) -> DataFrame:
+        values = [F.struct(F.lit(name).alias("section"), F.col(c).cast("double").alias("value")) for c, name in columns.items()]
+        rows = df.select(model.alias("model"), item.cast("string").alias("item"), F.inline(F.array(*values)))
+        return rows.select("section", "model", "item", "value")
+
+    model, by_lambda = F.col("model"), F.col("lambda")
+    names = {c: c for c in ("f1_mean", "f1_low", "wacc_mean", "wacc_low", "tcr_mean", "tcr_low")}
+    error = F.concat_ws(" ", F.col("msg_id").cast("string"), F.col("predicted").cast("string"))
+    parts = [
+        part(base, {"baseline": "baseline"}, F.lit(""), F.lit("")),
+        part(folds, {"accuracy": "accuracy", "margin": "margin"}, model, F.col("fold")),
+        part(evaluate.class_report(kept), {c: c for c in ("precision", "recall", "f1", "support")}, model, F.col("class")),
+        part(fold_summary(scores), names, model, by_lambda),
+        part(evaluate.folds_above_one(scores), {"n_folds": "folds_above_one"}, model, by_lambda),
+        part(evaluate.error_report(kept, ordered=False), {"n": "error"}, model, error),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def model_predictions(
     messages: DataFrame, k: int = 5, names: Sequence[str] = MODEL_NAMES, folds: Sequence[int] | None = None,
     script: str = "hebrew", sizes: Sequence[int] = (1, 2, 3), kinds: Sequence[str] = ("word", "letter"),
