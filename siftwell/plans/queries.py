@@ -688,6 +688,12 @@ def model_ada_boost(spark: SparkSession, sf: str) -> DataFrame:
     return _model(spark, sf, "AdaBoost", rounds=10, **ONE_WORD)  # boosting_predictions has all 50
 
 
+@query
+def model_set(spark: SparkSession, sf: str) -> DataFrame:
+    """All five models on one hold-out, with their times."""
+    return train_eval.model_set(_flat(I.labelled(spark, sf)), script="latin", rounds=10, **ONE_WORD)
+
+
 # evaluation
 
 

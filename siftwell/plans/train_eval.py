@@ -102,6 +102,17 @@ def model_predictions(
     return out, timings
 
 
+def model_set(messages: DataFrame, fraction: float = 0.25, names: Sequence[str] = MODEL_NAMES, **options: object) -> DataFrame:
+    """(model, n_test, n_right, seconds): the models on one hold-out of the messages, on the same vectors, and how long
+    each took to fit and predict. options: see model_predictions."""
+    predicted, timings = model_predictions(messages, 1, names, fraction=fraction, **options)
+    right = predicted.groupBy("model").agg(
+        F.count("*").alias("n_test"), F.count_if(F.col("label") == F.col("predicted")).alias("n_right")
+    )
+    times = messages.sparkSession.createDataFrame([(m, s) for m, _, s in timings], "model string, seconds double")  # a row per model
+    return right.join(F.broadcast(times), "model")
+
+
 @dataclass(frozen=True)
 class Run:
     """One row of an experiment grid. model 0 is all five; caps and union as in the data stage. A morphological run

@@ -107,6 +107,22 @@ def test_all_models_learn_a_separable_set(spark):
     assert {t[0] for t in times} == set(models.MODEL_NAMES) and all(math.isfinite(t[2]) for t in times)
 
 
+def test_model_set(spark):
+    found = train_eval.model_set(separable(spark), script="latin", sizes=[1], rounds=3, max_iter=20).collect()
+    assert {(r.model, r.n_test, r.n_right) for r in found} == {(name, 16, 16) for name in models.MODEL_NAMES}
+    assert all(r.seconds > 0 for r in found)
+
+
+def test_run_report(spark, frame):
+    messages = frame([(0, "a"), (0, "b"), (1, "c"), (1, "d")], "label int, text string")
+    rows = [(0, "m", 0, 0, 0), (1, "m", 0, 0, 1), (2, "m", 1, 1, 1), (3, "m", 1, 1, 1)]
+    predictions = frame(rows, "msg_id bigint, model string, fold int, label int, predicted int")
+    found = {(r.section, r["item"]): r["value"] for r in train_eval.run_report(messages, predictions).collect()}
+    assert found["baseline", ""] == 0.5 and found["accuracy", "0"] == 0.5 and found["margin", "1"] == 0.5
+    assert found["recall", "0"] == 0.5 and found["support", "1"] == 2 and found["error", "1 1"] == 1
+    assert ("tcr_mean", "99") in found and found["folds_above_one", "1"] == 0
+
+
 def test_grid(spark):
     rows = separable(spark).withColumn("dataset", F.when(F.col("msg_id") < 30, "sms").otherwise("email"))
     runs = [train_eval.Run(k=3, non_spam_cap=10), train_eval.Run(k=1, union=True), train_eval.Run(model=2, k=1)]
