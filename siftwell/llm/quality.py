@@ -4,8 +4,8 @@ Characters are the symbols, in windows of three, each language by itself; a word
 symbol of its own. All trusted text is counted: batches count their own windows, Spark adds the counts up. Counts,
 continuation counts and context totals are tables sharded by their keys, joined into one table of bits per window.
 
-Documents are dealt into blocks of some MB. A block asks for its distinct windows, the requests are joined with the
-table, and the answers meet the block's documents again, which add up their bits. So neither model nor documents pass
+Documents are dealt into blocks of some MB. A block asks each shard of the table for its distinct windows, in one packed
+array, and the answers meet the block's documents again, which add up their bits. So neither model nor documents pass
 through one place, whatever their size, and texts move once.
 
 A document's perplexity is 2 ** (bits per symbol). Its score is the bits per symbol after PRIOR_SYMBOLS symbols with
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,7 +44,6 @@ QUANTILE = 0.995
 MARGIN_BITS = 0.5
 TOXIC_QUANTILE = 0.99  # of the worst stretches of trusted documents
 MAX_BROADCAST = 1_000_000  # trusted ids that are broadcast; beyond, they are joined by shuffle
-WORDS = "#"  # in the place of a language: keys of the word model
 STEPS = 1000  # scores are ranked in steps of 1/STEPS bit
 
 
@@ -155,53 +155,91 @@ def window_bits(counts: DataFrame) -> DataFrame:
     return joined.select("lang", "gram", (-F.log2(p3)).alias("bits"))
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """8-byte numbers, their first bytes first, then their second ones and so on, compressed."""
+    planes = np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, 8).T)
+    return pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
+    planes = pa.Codec("zstd").decompress(packed, 8 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).reshape(-1).view(kind)
+
+
+def _asked(texts: np.ndarray, langs: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, ...], dict[str, tuple[np.ndarray, ...]]]:
+    """All keys that texts need, in order; their pairs of words; by language places of texts, keys of its different windows,
+    which of these each window is, and windows a text."""
+    by_lang = {}
+    for lang in set(langs):
+        mine = np.flatnonzero(_those(langs, lang))
+        codes, counts = windows(texts[mine].tolist())
+        grams, which = np.unique(codes, return_inverse=True)
+        seed = np.full(1, xxhash.xxh64_intdigest(lang, seed=42), np.uint64)
+        by_lang[lang] = mine, word_model.hash_on(seed, grams.view(np.uint64)), which, counts
+    pairs = word_model.Words().pairs(texts.tolist(), langs)
+    return np.unique(np.concatenate([word_model.asked(pairs), *(grams for _, grams, _, _ in by_lang.values())])), pairs, by_lang
+
+
 def document_bits(docs: DataFrame, bits: DataFrame, words: DataFrame, blocks: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, _lang, _trusted, n_symbols, bits (sum; null where the language has no model), worst and word_bits (see
-    word_model) of documents (keep columns, lang, _text, trusted, toxic)."""
+    word_model) of documents (keep columns, lang, _text, trusted, toxic).
+
+    The model is cut into as many shards as there are blocks of documents, by ranges of its keys' hashes. A block sends each
+    shard one packed array of the keys it needs from there, and gets back an array of numbers in the same order. So an array
+    holds thousands of keys in a small corpus and few in a very large one, and never more rows move than there are keys."""
     dealt = docs.select(F.pmod(F.xxhash64(keep[0], "_text"), F.lit(blocks)).cast("int").alias("block"), *keep, "lang", "_text", "trusted", "toxic")
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    width = len(word_model.NUMBERS)
 
     def ask(group: pa.Table) -> pa.Table:
-        parts = []
-        langs = group.column("lang").to_pylist()
         texts = np.array(group.column("_text").to_pylist(), object)
-        block = group.column("block")[0].as_py()
-        for lang in set(langs):
-            grams = np.unique(windows(texts[_those(langs, lang)].tolist())[0])
-            n = len(grams)
-            parts.append(pa.table({"block": pa.array(np.full(n, block, np.int32)), "lang": pa.array([lang] * n, pa.string()), "gram": pa.array(grams)}))
-        keys = word_model.asked(texts.tolist(), langs)
-        parts.append(pa.table({"block": pa.array(np.full(len(keys), block, np.int32)), "lang": pa.array([WORDS] * len(keys), pa.string()), "gram": pa.array(keys)}))
-        return pa.concat_tables(parts)
+        keys, _, _ = _asked(texts, group.column("lang").to_pylist())
+        shards, starts = np.unique(((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), return_index=True)
+        parts = np.split(keys, starts[1:]) if len(keys) else []
+        block = np.full(len(shards), group.column("block")[0].as_py(), np.int32)
+        packed = [pack(np.diff(part, prepend=np.zeros(1, np.uint64))) for part in parts]
+        sizes = pa.array([len(part) for part in parts], pa.int32())
+        return pa.table({"shard": pa.array(shards.astype(np.int32)), "block": pa.array(block), "n": sizes, "packed": pa.array(packed, pa.binary())})
+
+    def look_up(messages: pa.Table, known: pa.Table) -> pa.Table:
+        keys = known.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        # one row more, of zeros, for keys that the model does not have
+        numbers = np.vstack([np.column_stack([known.column(x).to_numpy()[order] for x in word_model.NUMBERS]), np.zeros(width)])
+        keys = keys[order]
+        answers = []
+        for n, packed in zip(messages.column("n").to_pylist(), messages.column("packed").to_pylist(), strict=True):
+            wanted = np.cumsum(unpack(packed, n, np.uint64), dtype=np.uint64)
+            place = np.searchsorted(keys, wanted)
+            place[place < len(keys)] = np.where(keys[place[place < len(keys)]] == wanted[place < len(keys)], place[place < len(keys)], len(keys))
+            answers.append(pack(numbers[place].T.copy()))
+        return messages.select(["block", "shard", "n"]).append_column("packed", pa.array(answers, pa.binary()))
 
     def add_up(group: pa.Table, answers: pa.Table) -> pa.Table:
-        langs = group.column("lang").to_pylist()
         texts = np.array(group.column("_text").to_pylist(), object)
-        answered = answers.column("lang").to_pylist()
-        grams, values = answers.column("gram").to_numpy(), answers.column("x0").to_numpy()
-        totals, sizes = np.full(len(langs), np.nan), np.fromiter(map(len, texts), np.int64, len(texts))
-        for lang in set(langs):
-            mine, model = np.flatnonzero(_those(langs, lang)), np.flatnonzero(_those(answered, lang))
-            if len(model):
-                order = model[np.argsort(grams[model])]
-                codes, counts = windows(texts[mine].tolist())
-                sums = np.concatenate([[0.0], np.cumsum(values[order][np.searchsorted(grams[order], codes)])])
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                totals[mine] = sums[ends[1:]] - sums[ends[:-1]]
-        model = np.flatnonzero(_those(answered, WORDS))
-        model = model[np.argsort(grams[model])]
-        numbers = np.column_stack([answers.column(x).to_numpy()[model] for x in word_model.NUMBERS])
+        langs = group.column("lang").to_pylist()
+        keys, pairs, by_lang = _asked(texts, langs)
+        answers = answers.sort_by("shard")
+        sent = zip(answers.column("n").to_pylist(), answers.column("packed").to_pylist(), strict=True)
+        numbers = np.vstack([np.empty((0, width)), *(unpack(packed, n * width, np.float64).reshape(width, n).T for n, packed in sent)])
+        totals = np.full(len(langs), np.nan)
+        for mine, grams, which, counts in by_lang.values():
+            x = numbers[np.searchsorted(keys, grams)]
+            sums = np.concatenate([[0.0], np.cumsum(np.where(x[:, 1] > 0, x[:, 0], np.nan)[which])])
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            totals[mine] = sums[ends[1:]] - sums[ends[:-1]]
         trusted, toxic = (group.column(c).to_numpy() for c in ("trusted", "toxic"))
-        worst, word_bits = word_model.word_scores(texts.tolist(), langs, trusted, toxic, grams[model], numbers)
-        found = {"n_symbols": pa.array(sizes), "bits": pa.array(totals, from_pandas=True), "worst": pa.array(worst, from_pandas=True)}
-        found["word_bits"] = pa.array(word_bits, from_pandas=True)
+        worst, word_bits = word_model.word_scores(pairs, trusted, toxic, keys, numbers)
+        found = {"n_symbols": pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), "bits": pa.array(totals, from_pandas=True)}
+        found |= {"worst": pa.array(worst, from_pandas=True), "word_bits": pa.array(word_bits, from_pandas=True)}
         return pa.table({**{c: group.column(c) for c in keep}, "_lang": group.column("lang"), "_trusted": group.column("trusted"), **found})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, lang string, gram bigint")
-    none = [F.lit(0.0).alias(x) for x in word_model.NUMBERS[1:]]
-    known = bits.select("lang", "gram", F.col("bits").alias("x0"), *none)
-    known = known.union(words.select(F.lit(WORDS).alias("lang"), F.col("key").alias("gram"), *word_model.NUMBERS))
-    answers = asked.join(known, ["lang", "gram"]).select("block", "lang", "gram", *word_model.NUMBERS)
+    message = "n int, packed binary"
+    asked = dealt.groupBy("block").applyInArrow(ask, f"shard int, block int, {message}")
+    known = bits.select(F.xxhash64("lang", "gram").alias("key"), F.col("bits").alias("x0"), *(F.lit(float(x == "x1")).alias(x) for x in word_model.NUMBERS[1:]))
+    known = known.union(words.select("key", *word_model.NUMBERS))
+    shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(blocks).cast("bigint"), 32).cast("int").alias("shard")
+    answers = asked.groupBy("shard").cogroup(known.select(shard, "*").groupBy("shard")).applyInArrow(look_up, f"block int, shard int, {message}")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"{kinds}, _lang string, _trusted boolean, n_symbols bigint, bits double, worst double, word_bits double")
 
 

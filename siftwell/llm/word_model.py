@@ -9,7 +9,8 @@ two ends of a stretch (2 log2 of the words), so a few bad words are not averaged
 the same document.
 
 The counts are one table, key -> four numbers, whose keys are hashes of (language), (language, word) or (language, word,
-word). Blocks of documents ask for the keys they need; answers are joined by key, so no table passes through one place."""
+word). Blocks of documents ask for the keys they need, one packed array for each shard of the model (quality.py), so no
+table passes through one place."""
 
 from __future__ import annotations
 
@@ -30,8 +31,8 @@ _CACHE_WORDS = 500_000
 _START = np.uint64(0x5354415254)  # stands before every text
 
 
-def _hash(seed: np.ndarray | int, x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long; xxhash64(a, b) is _hash(_hash(42, a), b)."""
+def hash_on(seed: np.ndarray | int, x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long; xxhash64(a, b) is hash_on(hash_on(42, a), b)."""
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
     seed = np.uint64(seed) if isinstance(seed, int) else seed
@@ -43,7 +44,7 @@ def _hash(seed: np.ndarray | int, x: np.ndarray) -> np.ndarray:
 
 
 def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _hash(_hash(42, before), word)
+    return hash_on(hash_on(42, before), word)
 
 
 class Words:
@@ -63,11 +64,11 @@ class Words:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         lang = np.fromiter((xxhash.xxh64_intdigest(x, seed=2) for x in langs), np.uint64, len(langs))
         owner = np.repeat(np.arange(len(rows)), sizes)
-        word = _hash(lang[owner], np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat)))
+        word = hash_on(lang[owner], np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat)))
         before = np.empty_like(word)
         before[1:] = word[:-1]
         first = (np.cumsum(sizes) - sizes)[sizes > 0]
-        before[first] = _hash(lang[owner[first]], np.full(len(first), _START))
+        before[first] = hash_on(lang[owner[first]], np.full(len(first), _START))
         return lang[owner], before, word, owner
 
 
@@ -114,11 +115,11 @@ def model(counts: DataFrame) -> DataFrame:
     )
 
 
-def asked(texts: list[str], langs: list[str]) -> np.ndarray:
-    """The keys that these texts need."""
-    lang, before, word, _ = Words().pairs(texts, langs)
+def asked(pairs: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The keys that these pairs of words need."""
+    lang, before, word, _ = pairs
     lang = np.unique(lang)
-    return np.unique(np.concatenate([_pair(before, word), before, word, lang, _hash(42, lang)])).view(np.int64)
+    return np.unique(np.concatenate([_pair(before, word), before, word, lang, hash_on(42, lang)]))
 
 
 def _per(owner: np.ndarray, of: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
@@ -129,28 +130,24 @@ def _per(owner: np.ndarray, of: np.ndarray, weight: np.ndarray | None = None) ->
 
 
 def word_scores(
-    texts: list[str], langs: list[str], trusted: np.ndarray, toxic: np.ndarray, keys: np.ndarray, numbers: np.ndarray
+    found: tuple[np.ndarray, ...], trusted: np.ndarray, toxic: np.ndarray, keys: np.ndarray, numbers: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Score of the worst stretch and word bits of each text; nan where there are no words or a model that is needed is
-    missing. keys are sorted, numbers has their four numbers."""
-    lang, before, word, owner = Words().pairs(texts, langs)
-    worst, bits = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-    if not len(word) or not len(keys):
+    """Score of the worst stretch and word bits of each text (found: its pairs); nan where there are no words or a model that
+    is needed is missing. keys are sorted and hold all that is asked; numbers has their four numbers, zeros if unknown."""
+    lang, before, word, owner = found
+    worst, bits = np.full(len(trusted), np.nan), np.full(len(trusted), np.nan)
+    if not len(word):
         return worst, bits
-    keys = np.append(keys, keys[-1])
-    numbers = np.vstack([numbers, np.zeros(4)])  # for keys without an answer
 
     def answers(key: np.ndarray) -> np.ndarray:
-        place = np.searchsorted(keys[:-1], key.view(np.int64))
-        place[(place < len(keys) - 1) & (keys[place] != key.view(np.int64))] = len(keys) - 1
-        return numbers[place]
+        return numbers[np.searchsorted(keys, key)]
 
     pair = _pair(before, word)
     n, m = answers(pair)[:, :2].T
     total, kinds = answers(before)[:, :2].T
     k, l = answers(word)[:, 2:].T
     pairs, words, d1, d2 = answers(lang).T
-    toxic_pairs, toxic_words, dt, _ = answers(_hash(42, lang)).T
+    toxic_pairs, toxic_words, dt, _ = answers(hash_on(42, lang)).T
     # without the text's own counts
     own = _per(owner, pair)
     mine, bad = trusted[owner], toxic[owner]
@@ -165,7 +162,7 @@ def word_scores(
         p = np.where(total > 0.5, (np.maximum(n - d2, 0) + d2 * kinds * p) / total, p)
         p = np.where(pairs > 0.5, p, np.nan)
         weight = np.where(toxic_pairs > 0.5, np.log2((np.maximum(l - dt, 0) + dt * toxic_words * p) / toxic_pairs / p), np.nan)
-    sizes = np.bincount(owner, minlength=len(texts))
+    sizes = np.bincount(owner, minlength=len(trusted))
     ends = np.concatenate([[0], np.cumsum(sizes)])
     for i in np.flatnonzero(sizes):
         here = slice(ends[i], ends[i + 1])
