@@ -175,22 +175,25 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """key, _t, _u, start, times of the ranges of all rows (_t, _u, _text)."""
+    """key, _t, _u, start, times of the ranges of all rows (_t, _u, _text), and ranges: how many the row's text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, corpus in _corpora(batches):
             owner, start, _, key, times = anchored(corpus)
             at = pa.array(owner)
-            arrays = [_signed(key), piece.column("_t").take(at), piece.column("_u").take(at), pa.array(start.astype(np.int32)), pa.array(times)]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "_t", "_u", "start", "times"])
+            ranges = np.bincount(owner, minlength=piece.num_rows)[owner].astype(np.int32)
+            arrays = [_signed(key), piece.column("_t").take(at), piece.column("_u").take(at), pa.array(start.astype(np.int32)), pa.array(times), pa.array(ranges)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "_t", "_u", "start", "times", "ranges"])
 
-    return rows.select("_t", "_u", "_text").mapInArrow(run, "key bigint, _t bigint, _u int, start int, times bigint")
+    return rows.select("_t", "_u", "_text").mapInArrow(run, "key bigint, _t bigint, _u int, start int, times bigint, ranges int")
 
 
-def found_once(occurrences: DataFrame, keys: list[str]) -> DataFrame:
-    """_t, _u, once (sorted array of starts): what occurs once in all; only then are the minima those of one row."""
-    total = occurrences.groupBy(*keys).agg(F.sum("times").alias("n"), *(F.min(c).alias(c) for c in ("_t", "_u", "start")))
-    return total.where("n = 1").groupBy("_t", "_u").agg(F.sort_array(F.collect_list("start")).alias("once"))
+def found_once(occurrences: DataFrame, keys: list[str], of_text: tuple[str, ...] = ()) -> DataFrame:
+    """_t, _u, once (sorted array of starts) and of_text (columns alike in all rows of a text): what occurs once in all; only
+    then are the minima those of one row."""
+    total = occurrences.groupBy(*keys).agg(F.sum("times").alias("n"), *(F.min(c).alias(c) for c in ("_t", "_u", "start", *of_text)))
+    starts = F.sort_array(F.collect_list("start")).alias("once")
+    return total.where("n = 1").groupBy("_t", "_u").agg(starts, *(F.min(c).alias(c) for c in of_text))
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -281,9 +284,11 @@ def whole_and_cut(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     copies, n_removed, kept."""
     body = F.coalesce(df[text], F.lit(""))
     rows = df.select(*keep, F.xxhash64(body).alias("_t"), F.hash(body).alias("_u"), body.alias("_text"))
-    once = cut_lineage(found_once(anchors(rows), ["key"]))
+    once = cut_lineage(found_once(anchors(rows), ["key"], ("ranges",)))
     texts = rows.groupBy("_t", "_u").agg(F.first("_text").alias("_text"), F.count("*").alias("copies"))
-    found = cut_lineage(suspects(texts.join(once, ["_t", "_u"], "left")))
+    # a text whose ranges are all found once has no window that is found again
+    again = texts.join(once, ["_t", "_u"], "left").where("once IS NULL OR size(once) < ranges")
+    found = cut_lineage(suspects(again))
     single = found_once(suspect_windows(found), ["key", "window"])
     cut = cut_lineage(cut_texts(found.join(single, ["_t", "_u"], "left")).where("n_removed > 0"))
     whole = rows.select(*keep, "_t", "_u", word_array(F.col("_text")).alias("_words")).select(
