@@ -52,6 +52,7 @@ MORE = (
     Rule("url_password", r"[A-Za-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._!$%^&*-]+@"),
 )
 RULES = BASE + MORE
+PIECE = 128  # matches whose places are added up in one list
 MAX_STRINGS = 64  # alternatives of a literal that a query spells out; beyond, it asks for less
 
 # A query is True (nothing is mandatory), a trigram, or ("and" | "or", queries).
@@ -157,7 +158,8 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
 
 
 def match_spans(text: Column, rule: Rule, number: int) -> Column:
-    """array<struct<start, rule, end>>: the text is cut at the matches; lengths of cuts and matches add up to places."""
+    """array<struct<start, rule, end>>: the text is cut at the matches; lengths of cuts and matches add up to places, first
+    of pieces of PIECE matches, then inside each, so that no long list is copied once for every match."""
     pattern = F.lit(rule.pattern)
     pairs = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
@@ -165,17 +167,31 @@ def match_spans(text: Column, rule: Rule, number: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
     )
     kind = "array<struct<start:bigint,rule:int,end:bigint>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
+    size = lambda pair: (F.length(pair["gap"]) + F.coalesce(F.length(pair["match"]), F.lit(0))).cast("bigint")
 
     def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.coalesce(F.length(pair["match"]), F.lit(0))
-        span = F.struct(begin.cast("bigint").alias("start"), F.lit(number).alias("rule"), end.cast("bigint").alias("end"))
+        begin, end = state["at"] + F.length(pair["gap"]), state["at"] + size(pair)
+        span = F.struct(begin.cast("bigint").alias("start"), F.lit(number).alias("rule"), end.alias("end"))
         counts = F.length(pair["value"]) >= rule.min_chars  # null behind the last match
         spans = F.when(counts, F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(end.cast("bigint").alias("at"), spans.alias("spans"))
+        return F.struct(end.alias("at"), spans.alias("spans"))
 
-    found = F.aggregate(pairs, start, step, lambda state: state["spans"])
+    def in_piece(piece: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(kind).alias("spans"))
+        return F.aggregate(piece, start, step, lambda state: state["spans"])
+
+    def in_pieces(pieces: Column) -> Column:
+        total = lambda piece: F.aggregate(piece, F.lit(0).cast("bigint"), lambda at, pair: at + size(pair))
+        ends = F.aggregate(
+            F.transform(pieces, total), F.array(F.lit(0).cast("bigint")), lambda ends, n: F.array_append(ends, F.element_at(ends, -1) + n)
+        )
+        return let(ends, lambda ends: F.flatten(F.transform(pieces, lambda piece, i: in_piece(piece, F.get(ends, i)))))
+
+    def cut(pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(PIECE))
+        return F.transform(starts, lambda i: F.slice(pairs, i, F.lit(PIECE)))
+
+    found = let(pairs, lambda pairs: let(cut(pairs), in_pieces))
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(kind))
 
 

@@ -4,11 +4,14 @@ import hashlib
 import html as H
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import pytest
 
 from siftwell.llm import bpe, chat, rules, secrets, sharding
-from siftwell.llm.html import Weights, extract, fit_weights, main_text, op1_html
+from siftwell.llm.html import Weights, best_region, extract, fit_weights, label_counts, main_text, op1_html
 
 EDGE = [
     (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n\t ", None, "a", 4), (4, "one", "en", "a", 3), (5, "one", "en", "b", 3),
@@ -50,6 +53,60 @@ def test_marked_pages_give_their_article(spark):
     assert all(r.text == wanted(pages[r.page_id]) and r.n_chars == len(r.text) for r in found)
 
 
+TEXT = (
+    "<h1>The title of it</h1><p>One two three four five six seven eight nine ten eleven twelve.</p>"
+    "<p>More words here with <a href=x>a link</a> in them.</p><p>End.</p>"
+)
+ARTICLE = f"<article>{TEXT}</article>"
+
+
+def links(n):
+    return "<ul>" + "".join(f"<li><a href=/{i}>Item number {i}</a></li>" for i in range(n)) + "</ul>"
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout with-sidebar">{ARTICLE}</div>',
+        f'<article class="post has-comments">{TEXT}</article>',
+        f'<article class="social-science">{TEXT}</article>',
+        f'<div id="main-header-wrap">{ARTICLE}</div>',
+        f'<form id="aspnetForm">{links(5)}{ARTICLE}</form>',
+        f"<body>{links(30)}<div>{TEXT}</div>{links(20)}<div>\N{COPYRIGHT SIGN} 2024 Example Ltd. All rights reserved.</div>",
+        f"<form>{links(30)}<div>{TEXT}</div></form>",
+        f'{ARTICLE}<section class="comments"><article class="comment"><p>I like this text very much.</p></article></section>',
+        f'<main>{links(4)}{ARTICLE}<div class="comments"><article>Nice text</article></div></main>',
+        f'<article>{TEXT.replace("<p>More", "<div class=ad>Buy <b>now</b></div><p>More")}</article>',
+        f"<article>{TEXT}<!-- x --></article><article class=ad>Buy this one</article>",
+    ],
+)
+def test_wrappers_and_pages_without_marks(fitted, page):
+    counts = Counter()
+    for body in ("A few words. " * n for n in range(1, 20)):
+        counts.update(label_counts(f"<nav>{links(6)}</nav><article><h1>Title</h1><p>{body}</p></article><footer>&copy; me and all of us</footer>"))
+    wanted = "The title of it One two three four five six seven eight nine ten eleven twelve. More words here with a link in them. End."
+    assert main_text(page, Weights(counts if fitted else {})) == wanted
+
+
+def test_region_against_all_intervals():
+    rng = random.Random(4)
+    for _ in range(2000):
+        scores = [rng.randint(-3, 3) for _ in range(rng.randint(0, 12))]
+        ranges = [(sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max((s for s, _, _ in ranges), default=0)
+        first, last = best_region(scores)
+        assert (first, last) == (0, 0) if best <= 0 else sum(scores[first:last]) == best
+        assert best <= 0 or last == min(b for s, _, b in ranges if s == best)
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    start = time.time()
+    for page in ("<b>" * 80000 + "</i>" * 70000, "<p><table>" + "<b>" * 8000 + "<div>" * 30000, "<li>" * 60000, '<p class="' + "x" * 600000):
+        main_text(page + "<p>x", Weights({}))
+    assert time.time() - start < 15
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (None, "u", "<p>a</p>", 6)], "page_id long, url string, html string, text int")
     weights = fit_weights(pages)
@@ -157,6 +214,15 @@ def test_trigram_queries():
     assert secrets.trigram_query(r"x?") is True
 
 
+def test_many_secrets_in_one_text(spark):
+    n = 128000
+    df = spark.createDataFrame([(1, "token=abcdef " * n)], "doc_id bigint, text string")
+    start = time.time()
+    spans = secrets.scan(df).select("spans").first().spans
+    assert time.time() - start < 60
+    assert [(s.start, s.end) for s in spans] == [(13 * i, 13 * i + 12) for i in range(n)]
+
+
 def test_secrets_brute_force(spark):
     rng = random.Random(5)
     parts = ["token", "Secret", "PASSWORD", "api_key", "=", ":", " ", '"', "'", "abc", "123456", "abcdefghij", "\n", "é", "😀", "AKIA"]
@@ -170,6 +236,10 @@ def test_secrets_brute_force(spark):
         wanted += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
         wanted += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
         assert sorted(wanted) == [(s.start, s.rule, s.end) for s in found[i] if s.rule < 3]
+    more = {3: r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 4: r"gh[opsu]_[A-Za-z0-9]{36,}", 7: r"[A-Za-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._!$%^&*-]+@"}
+    for i, text in enumerate(t or "" for t in texts):
+        wanted = [(m.start(), rule, m.end()) for rule, pattern in more.items() for m in re.finditer(pattern, text)]
+        assert sorted(wanted) == [(s.start, s.rule, s.end) for s in found[i] if s.rule >= 3]
     assert secrets.scan(df.limit(0)).count() == 0
     masked = secrets.scan(df).select("doc_id", secrets.redacted(secrets.F.col("_text"), secrets.F.col("spans")).alias("t")).collect()
     assert not any(re.search("AKIA[A-Z0-9]{16}|[0-9a-f]{24}|ghp_a{36}", r.t) for r in masked)
