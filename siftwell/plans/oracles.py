@@ -858,42 +858,14 @@ oracle(
 )
 
 
-def grid_run(run_id: int, name: str, k: int, cap: int | None, union: bool) -> str:
-    """Summary rows of one run and dataset, self-contained below the CTE `hv`."""
-    rows = f"""SELECT msg_id, dataset, label, text FROM hv
-    QUALIFY label = 1 OR row_number() OVER (PARTITION BY dataset, label ORDER BY msg_id) <= {cap or 1 << 40}"""
-    if not union:
-        rows = f"SELECT * FROM ({rows}) WHERE dataset = '{name}'"
-    once = PER_CLASS.format(f"({rows})")
-    folded = f"{fold('text', k)} AS fold" if k > 1 else HOLD[HOLD.index("(row_number") : HOLD.index(" FROM (SELECT min")]
-    rows = once if union else rows
-    return f"""SELECT {run_id}::INT AS run_id, '{name}' AS dataset, {k}::INT AS k, 0.25::DOUBLE AS split, {str(union).lower()} AS is_union,
-  false AS is_morphological, false AS has_tags, false AS has_trees,
-  -1::INT AS spam_cap, {cap or -1}::INT AS non_spam_cap, * FROM (WITH rw AS ({rows}), src AS MATERIALIZED (SELECT *, {folded} FROM ({once})),
-{bayes("src")},
-{SCORED} SELECT * FROM ({FOLD_SUMMARY}), (SELECT count(*) AS n_messages, count(*) FILTER (label = 1) AS n_spam,
-  count(*) FILTER (label = 0) AS n_non_spam FROM rw))"""
-
-
-oracle(
-    "experiment_grid",
-    " UNION ALL ".join(
-        [grid_run(i, n, 5, cap, False) for i, cap in ((0, None), (1, 100)) for n in ("sms", "email")]
-        + [grid_run(2, "both", 1, None, True)]
-    ),
-    LAB,
-    "hv AS (SELECT * REPLACE (CASE WHEN len(dataset) % 2 = 0 THEN 'sms' ELSE 'email' END AS dataset) FROM lab)",
-)
-
 N_SCALARS = 24
 
-
-def model_oracle(name: str, sql: str, *ctes: str) -> None:
-    """The rows of all five folds. fl holds each text once per class; in sql and ctes, :fold stands for the fold."""
+def all_folds(sql: str, *ctes: str, src: str = "lab", k: int = 5) -> str:
+    """The rows of all folds of src. fl holds each text once per class; in sql and ctes, :fold stands for the fold."""
+    folded = f"{fold('text', k)} AS fold" if k > 1 else HOLD[HOLD.index("(row_number") : HOLD.index(" FROM (SELECT min")]
     parts = [
-        LAB,
-        f"""fl AS ({PER_CLASS.format("(SELECT msg_id, label, replace(text, chr(10), ' ') AS text FROM lab)")}),
-fo AS (SELECT *, {fold("text")} AS fold FROM fl), tr AS (SELECT * FROM fo WHERE fold <> :fold), te AS (SELECT * FROM fo WHERE fold = :fold)""",
+        f"""fl AS ({PER_CLASS.format(f"(SELECT msg_id, label, replace(text, chr(10), ' ') AS text FROM {src})")}),
+fo AS (SELECT *, {folded} FROM fl), tr AS (SELECT * FROM fo WHERE fold <> :fold), te AS (SELECT * FROM fo WHERE fold = :fold)""",
         STYLE.replace("FROM cen)", "FROM fl)"),
         word_grams("fl", "gw", "msg_id"),
         letter_grams("fl", "gl", "msg_id"),
@@ -905,11 +877,14 @@ fo AS (SELECT *, {fold("text")} AS fold FROM fl), tr AS (SELECT * FROM fo WHERE
         *ctes,
     ]
     whole = "WITH " + ",\n".join(parts) + "\n" + sql.strip()
-    ORACLES[name] = "\nUNION ALL\n".join(f"SELECT * FROM ({whole.replace(':fold', str(f))})" for f in range(5))
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({whole.replace(':fold', str(f))})" for f in range(max(k, 1)))
 
 
-model_oracle(
-    "model_naive_bayes",
+def model_oracle(name: str, sql: str, *ctes: str) -> None:
+    oracle(name, all_folds(sql, *ctes), LAB)
+
+
+FULL_BAYES = (
     f"""SELECT msg_id, 'MultinomialNB' AS model, :fold::INT AS fold, label, (s1 > s0)::INT AS predicted FROM (
   SELECT te.msg_id, te.label,
     any_value(ln((d0 + 1) / (d0 + d1 + 2))) + sum(v * ln((coalesce(n0, 0) + 1) / (t0 + width + {N_SCALARS}))) AS s0,
@@ -921,6 +896,33 @@ model_oracle(
     """nt AS MATERIALIZED (SELECT f, sum(CASE WHEN label = 0 THEN v ELSE 0 END) AS n0, sum(CASE WHEN label = 1 THEN v ELSE 0 END) AS n1
   FROM ff JOIN tr ON ff.msg_id = tr.msg_id GROUP BY f)""",
 )
+model_oracle("model_naive_bayes", *FULL_BAYES)
+model_oracle("naive_bayes_full_features", *FULL_BAYES)
+
+def grid_run(run_id: int, name: str, k: int, cap: int | None, union: bool) -> str:
+    """Summary rows of one run and dataset, self-contained below the CTE `hv`."""
+    rows = f"""SELECT msg_id, dataset, label, text FROM hv
+    QUALIFY label = 1 OR row_number() OVER (PARTITION BY dataset, label ORDER BY msg_id) <= {cap or 1 << 40}"""
+    if not union:
+        rows = f"SELECT * FROM ({rows}) WHERE dataset = '{name}'"
+    rows = PER_CLASS.format(f"({rows})") if union else rows
+    return f"""SELECT {run_id}::INT AS run_id, '{name}' AS dataset, {k}::INT AS k, 0.25::DOUBLE AS split, {str(union).lower()} AS is_union,
+  false AS is_morphological, false AS has_tags, false AS has_trees,
+  -1::INT AS spam_cap, {cap or -1}::INT AS non_spam_cap, * FROM (WITH rw AS MATERIALIZED ({rows}),
+pd AS MATERIALIZED ({all_folds(*FULL_BAYES, src="rw", k=k)}),
+cm AS{RULES.split("cm AS", 1)[1]} SELECT * FROM ({FOLD_SUMMARY}), (SELECT count(*) AS n_messages, count(*) FILTER (label = 1) AS n_spam,
+  count(*) FILTER (label = 0) AS n_non_spam FROM rw))"""
+
+
+oracle(
+    "experiment_grid",
+    " UNION ALL ".join(
+        [grid_run(i, n, 5, cap, False) for i, cap in ((0, None), (1, 100)) for n in ("sms", "email")]
+        + [grid_run(2, "both", 1, None, True)]
+    ),
+    LAB,
+    "hv AS (SELECT * REPLACE (CASE WHEN len(dataset) % 2 = 0 THEN 'sms' ELSE 'email' END AS dataset, replace(text, chr(10), ' ') AS text) FROM lab)",
+)
 
 model_oracle(
     "model_k_neighbours",

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import bayes, evaluate
 from siftwell.operators.censor import censor
-from siftwell.operators.classwords import class_words
+from siftwell.functions.style import STYLE_COLUMNS, add_style
+from siftwell.functions.text import has_script
+from siftwell.operators.classwords import class_words, fold_class_word_hits, fold_class_words
 from siftwell.operators.clean import drop_rejected
 from siftwell.operators.dedup import prune_datasets, union_datasets
 from siftwell.operators.evaluate import fold_scores, fold_summary
-from siftwell.operators.features import Vectoriser, annotate, annotation_features
+from siftwell.operators.features import SCALARS, TREE_SCALARS, Vectoriser, annotate, annotation_features, term_array, unpivot_scalars
 from siftwell.operators.models import MODEL_NAMES, classifiers, fit_and_predict
 from siftwell.operators.ngrams import explode_ngrams
 from siftwell.operators.sampling import add_folds, cap_per_class
@@ -44,6 +46,35 @@ def bayes_predictions(
     return scored.withColumn("model", F.lit("MultinomialNB"))
 
 
+def full_bayes_predictions(
+    messages: DataFrame, k: int = 5, script: str = "hebrew", sizes: Sequence[int] = (1, 2, 3), kinds: Sequence[str] = ("word", "letter"),
+    fraction: float = 0.25, annotations: DataFrame | None = None,
+) -> DataFrame:
+    """predictions of naive Bayes on all that Vectoriser gives the models: n-grams, style, class words of the training rows,
+    tags and trees. One job for all folds; terms stay rows, so no vocabulary comes to the driver. A message without a letter of
+    the script has nothing but the class shares; its terms are known, with a value of zero."""
+    keep, folds = ["msg_id", "fold", "label"], list(range(k)) if k > 1 else [0]
+    rows = once_per_class(messages) if annotations is None else messages
+    folded = cut_lineage(add_folds(rows, k, "text", fraction=fraction))
+    ok = has_script(F.col("text"), script)
+    own = folded.where(ok)
+    terms = F.explode(term_array("text", sizes, kinds)).alias("term")
+    features = folded.select(*keep, terms, ok.cast("double").alias("value"))
+    for_all, names = [unpivot_scalars(add_style(own, script=script), STYLE_COLUMNS, "style", keep)], SCALARS
+    if annotations is not None:
+        noted = cut_lineage(annotate(folded.select(*keep, ok.alias("_ok")), annotations))
+        counted = noted.select(*keep, "_ok", F.inline("counted"))
+        features = features.unionByName(counted.select(*keep, "term", F.when(F.col("_ok"), F.col("n")).otherwise(0).cast("double").alias("value")))
+        shape = noted.where("_ok").select(*keep, *[F.coalesce(c, F.lit(0)).alias(c) for c in TREE_SCALARS])
+        for_all, names = [*for_all, unpivot_scalars(shape, TREE_SCALARS, "style", keep)], [*SCALARS, *TREE_SCALARS]
+    hits = fold_class_word_hits(own, fold_class_words(folded, folds, script=script), script=script)
+    parts = [p.withColumn("asked", F.lit(None).cast("int")) for p in for_all]
+    parts.append(unpivot_scalars(hits, ["non_spam_words", "spam_words"], "style", [*keep, "asked"]))
+    numbers = functools.reduce(DataFrame.unionByName, parts).drop("kind").where("value <> 0")
+    scored = bayes.cross_validate_with_numbers(features, cut_lineage(numbers), folded.select(*keep), folds, len(names))
+    return scored.withColumn("model", F.lit("MultinomialNB"))
+
+
 def spam_scores(messages: DataFrame, k: int = 5) -> DataFrame:
     """Raw labelled messages to the fold summary of naive Bayes on words: the flagship job."""
     return fold_summary(fold_scores(bayes_predictions(censor(messages), k)))
@@ -146,8 +177,9 @@ def _datasets(messages: DataFrame, run: Run) -> list[tuple[str, DataFrame]]:
 
 def run_grid(messages: DataFrame, runs: Sequence[Run], **vector_options: object) -> DataFrame:
     """Summary rows of every run and dataset, with the run's parameters and sizes. messages(msg_id, dataset, label,
-    text). Runs are independent jobs; naive Bayes alone takes the one-pass form."""
+    text). Runs are independent jobs; naive Bayes alone takes the one-pass form, on the same features."""
     out = None
+    for_bayes = {o: vector_options[o] for o in ("script", "sizes", "kinds") if o in vector_options}
     for run_id, run in enumerate(runs):
         for name, rows in _datasets(messages, run):
             start = time.time()
@@ -157,8 +189,8 @@ def run_grid(messages: DataFrame, runs: Sequence[Run], **vector_options: object)
                 if run.tags or run.trees:
                     noted = annotation_features(rows, run.tags, run.trees)
                 rows = rows.withColumn("text", plain_from_tagged(F.col("text")))
-            if run.model == 1 and noted is None:
-                predicted = bayes_predictions(rows, run.k, fraction=run.split)
+            if run.model == 1:
+                predicted = full_bayes_predictions(rows, run.k, fraction=run.split, annotations=noted, **for_bayes)
             else:
                 names = MODEL_NAMES if run.model == 0 else [MODEL_NAMES[run.model - 1]]
                 predicted, _ = model_predictions(rows, run.k, names, fraction=run.split, annotations=noted, **vector_options)

@@ -1,14 +1,18 @@
 import math
+import random
 import re
 
 import pytest
 from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
-from siftwell.operators import bayes, evaluate, features, models
+from siftwell.operators import bayes, classwords, evaluate, features, models
 from siftwell.operators.censor import censor
 from siftwell.operators.ngrams import explode_ngrams
+from siftwell.operators.sampling import add_folds
 from siftwell.plans import inputs, train_eval
+from siftwell.session import cut_lineage
+from siftwell.sources.tagged import plain_from_tagged
 from siftwell.streaming import clean_stream
 
 FOLDER = "/root/testdata/sf0.001"
@@ -146,6 +150,45 @@ def test_tag_and_tree_features_decide(spark):
     assert {r.model: r.f1_mean for r in out} == {m: 1.0 for m in models.MODEL_NAMES}
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_one_pass_bayes_equals_a_model_per_fold(spark, k):
+    """Terms, numbers, class words and annotations: the same verdicts as MLlib's model fitted on each fold's training rows."""
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "offer", "win", "שלום"]
+    data = [(i, "d", i % 3 % 2, " ".join(f"{rng.choice(words)}~{rng.choice(['NN', 'VB'])}~{rng.choice('012')}~r" for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    tagged = spark.createDataFrame([*data, (99, "d", 1, "!!!~X~0~r")], "msg_id long, dataset string, label int, text string")
+    tagged = cut_lineage(train_eval.once_per_class(tagged))
+    noted = features.annotation_features(tagged)
+    rows = cut_lineage(tagged.withColumn("text", plain_from_tagged(F.col("text"))))
+    for annotations in (None, noted) if k > 1 else (noted,):
+        options = {"script": "latin", "sizes": [1, 2], "annotations": annotations}
+        slow, _ = train_eval.model_predictions(rows, k, ["MultinomialNB"], **options)
+        fast = train_eval.full_bayes_predictions(rows, k, **options)
+        seen = [{(r.msg_id, r.fold, r.label, r.predicted) for r in df.collect()} for df in (slow, fast)]
+        assert seen[0] == seen[1] and len(seen[0]) > 10
+        if k == 1:  # and the same scores
+            folded = features.annotate(cut_lineage(add_folds(rows, 1, "text")), annotations)
+            train, test = folded.where("fold <> 0"), folded.where("fold = 0")
+            vectors = features.Vectoriser([1, 2], script="latin", annotated=True).fit(train, classwords.class_words(train, script="latin"))
+            scored = NaiveBayes(modelType="multinomial").fit(vectors.transform(train)).transform(vectors.transform(test))
+            wanted = {r.msg_id: tuple(r.rawPrediction) for r in scored.select("msg_id", "rawPrediction").collect()}
+            assert {r.msg_id: (r.score0, r.score1) for r in fast.collect()} == {i: pytest.approx(x) for i, x in wanted.items()}
+
+
+def test_class_words_of_all_folds(spark):
+    rng = random.Random(8)
+    data = [(i, i % 4, rng.randint(0, 1), " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "f"]) for _ in range(6))) for i in range(60)]
+    rows = cut_lineage(spark.createDataFrame(data, "msg_id long, fold int, label int, text string"))
+    bags = classwords.fold_class_words(rows, range(4), script="latin", min_count=22, top=2)
+    hits = classwords.fold_class_word_hits(rows, bags, script="latin")
+    found = {(r.asked, r.msg_id): (r.non_spam_words, r.spam_words) for r in hits.collect()}
+    for fold in range(4):
+        bag = classwords.class_words(rows.where(F.col("fold") != fold), script="latin", min_count=22, top=2)
+        assert {(r.label, r.word, r.n) for r in bag.collect()} == {(r.label, r.word, r.n) for r in bags.where(F.col("fold") == fold).collect()}
+        for r in classwords.class_word_hits(rows, bag, script="latin").collect():
+            assert found.get((fold, r.msg_id), (0, 0)) == (r.non_spam_words, r.spam_words)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
