@@ -111,6 +111,19 @@ def test_all_models_learn_a_separable_set(spark):
     assert {t[0] for t in times} == set(models.MODEL_NAMES) and all(math.isfinite(t[2]) for t in times)
 
 
+def test_no_vocabulary_but_for_linear_models(spark, monkeypatch):
+    def none(*args, **options):
+        raise AssertionError("a vocabulary came to the driver")
+
+    monkeypatch.setattr(features, "CountVectorizer", none)
+    names = ["MultinomialNB", "KNeighbors", "AdaBoost"]
+    out, times = train_eval.model_predictions(separable(spark), 3, names, folds=[0, 2], script="latin", sizes=[1], rounds=2)
+    assert {(r.model, r.fold) for r in out.collect()} == {(n, f) for n in names for f in (0, 2)} == {t[:2] for t in times}
+    assert out.where("label <> predicted").isEmpty()
+    with pytest.raises(AssertionError):
+        train_eval.model_predictions(separable(spark), 3, ["SVM"], folds=[0], script="latin", sizes=[1])
+
+
 def test_model_set(spark):
     found = train_eval.model_set(separable(spark), script="latin", sizes=[1], rounds=3, max_iter=20).collect()
     assert {(r.model, r.n_test, r.n_right) for r in found} == {(name, 16, 16) for name in models.MODEL_NAMES}
