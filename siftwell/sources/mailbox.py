@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from email.header import decode_header
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.masks import with_subject
 
+PIECE = 64  # mails of a batch that are parsed at a time
 PARSED = "subject string, body string, error string"
 
 
@@ -47,14 +48,16 @@ def parse_mails(
     are not UTF-8 are errors. With from_line the first line is not part of the mail. A double CRLF in the body becomes
     one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            mails = (bytes(r) for r in pdf.pop(mail))
-            parsed = pd.DataFrame([_parse(r.partition(b"\n")[2] if from_line else r) for r in mails], columns=["subject", "body", "error"])
-            yield pd.concat([pdf.reset_index(drop=True), parsed], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(at, PIECE) for at in range(0, batch.num_rows, PIECE)):
+                mails = (r.as_py() for r in piece.column(len(keep)))
+                parsed = [_parse(r.partition(b"\n")[2] if from_line else r) for r in mails]
+                texts = [pa.array(c, pa.string()) for c in zip(*parsed, strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], *texts], [*piece.schema.names[: len(keep)], "subject", "body", "error"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.select(*keep).schema)
-    out = raw.select(*keep, F.col(mail).cast("binary").alias(mail)).mapInPandas(run, f"{kept}, {PARSED}")
+    out = raw.select(*keep, F.col(mail).cast("binary").alias(mail)).mapInArrow(run, f"{kept}, {PARSED}")
     return out.withColumn("body", F.regexp_replace("body", "\r\n\r\n", "\r\n"))
 
 
