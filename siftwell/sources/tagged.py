@@ -41,15 +41,17 @@ def parse_tagged(
     runs = _trees(F.col(text)) if unit == "tree" else _sentences(F.col(text))
     sents = messages.select(*keep, F.posexplode(runs).alias("sent_no", "_run"))
     toks = sents.select(*keep, "sent_no", F.posexplode(F.split("_run", " ")).alias("_i", "_t"))
-    field = [F.regexp_extract("_t", TAGGED_WORD, i) for i in (1, 2, 3)]
-    tail = F.length(F.concat_ws("~", *field)) + 1
+    # every token is a tagged word, so its fields are its last pieces
+    pieces = F.split("_t", "~")
+    field = [F.element_at(pieces, i) for i in (-3, -2, -1)]
+    tail = F.length(F.substring_index("_t", "~", -3)) + 1
     return toks.select(
         *keep,
         "sent_no",
         (F.col("_i") + 1).alias("tok_no"),
         F.substring(F.col("_t"), F.lit(1), F.length("_t") - tail).alias("word"),
         field[0].alias("pos"),
-        F.expr("try_cast(regexp_extract(_t, '%s', 2) AS int)" % TAGGED_WORD.replace("\\", "\\\\")).alias("head"),
+        field[1].try_cast("int").alias("head"),
         field[2].alias("rel"),
     )
 
