@@ -55,7 +55,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(bpe.default_path())
     encoded = bpe.encode(docs, vocabulary, ("doc_id", "lang", "source", "text"))
     sized = encoded.withColumns({"n_tokens": F.size("ids").cast("bigint"), "_same": F.sha2(F.coalesce("text", F.lit("")), 256)})
-    back = bpe.decode(sized, vocabulary, ("doc_id", "lang", "source", "n_tokens", "ids", "_same"))
+    # written in between, else the tasks of an executor hold twice as many Python workers
+    back = bpe.decode(cut_lineage(sized.drop("text")), vocabulary, ("doc_id", "lang", "source", "n_tokens", "ids", "_same"))
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("_same")).alias("round_trip"))
 
 
