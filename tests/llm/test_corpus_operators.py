@@ -324,3 +324,11 @@ def test_digest_of_ids(spark):
     row = op4_bpe(spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").first().text
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_ids_are_written_before_they_are_decoded(spark):
+    """Pipeline, bpe: no task holds an encoder and a decoder at once."""
+    docs = spark.createDataFrame([(1, "en", "s", "one two <|endoftext|> é"), (2, "de", None, None), (None, "de", "s", "")], "doc_id long, lang string, source string, text string")
+    out = corpus_pipeline.bpe_stage(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in out.collect()) and out.count() == 3
